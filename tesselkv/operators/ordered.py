@@ -49,7 +49,7 @@ def running_sum(df: DataFrame, group: Sequence[str], order: Sequence[str], amoun
     return joined.select(*df.columns, (F.col(own) + F.col(base)).alias(out))
 
 
-def salted_rank(df: DataFrame, group: Sequence[str], order: str, out: str = "rank", rows_per_salt: int = 200_000) -> DataFrame:
+def salted_rank(df: DataFrame, group: Sequence[str], order: Sequence[str], out: str = "rank", rows_per_salt: int = 200_000) -> DataFrame:
     """``df`` with ``out``: a place from 0 in its group, without gaps or repeats.
 
     The order inside a group is by a hash of ``order`` first: any numbering that is
@@ -57,10 +57,10 @@ def salted_rank(df: DataFrame, group: Sequence[str], order: str, out: str = "ran
     """
     salt, base = fresh(df, "salt", "base")
     salts = max(1, -(-df.count() // rows_per_salt))
-    salted = df.withColumn(salt, F.pmod(F.xxhash64(order), F.lit(salts)).cast("int"))
+    salted = df.withColumn(salt, F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
     earlier = Window.partitionBy(*group).orderBy(salt).rowsBetween(Window.unboundedPreceding, -1)
     counts = salted.groupBy(*group, salt).agg(F.count(F.lit(1)).alias(base))
     bases = counts.withColumn(base, F.coalesce(F.sum(base).over(earlier), F.lit(0)))
-    placed = salted.withColumn(out, F.row_number().over(Window.partitionBy(*group, salt).orderBy(order)) - 1)
+    placed = salted.withColumn(out, F.row_number().over(Window.partitionBy(*group, salt).orderBy(*order)) - 1)
     joined = placed.join(bases, [*group, salt])
     return joined.select(*df.columns, (F.col(out) + F.col(base)).alias(out))
