@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesselkv.llm import packing, seen, tokenize
 from tesselkv.llm import percentiles as pc
-from tesselkv.llm import seen
 from tesselkv.runtime import table
 
 PCTS = (50, 90, 99)
@@ -49,6 +49,22 @@ def p4_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return p.select("src", "grp", "pct", "n", F.col("nearest").cast("string").alias("nearest"), F.round("between", 3).alias("between"))
 
 
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokenize.encode(table(spark, d, "documents"), "doc_id", "text")
+
+
+def _p7(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack_documents(table(spark, d, "documents"), table(spark, d, "pack_capacity"), "doc_id", "text")
+
+
+def p7_packed(spark: SparkSession, d: str) -> DataFrame:
+    return _p7(spark, d)
+
+
+def p7_use(spark: SparkSession, d: str) -> DataFrame:
+    return packing.use(_p7(spark, d), table(spark, d, "pack_capacity"))
+
+
 _P4 = r"""
 WITH log AS (SELECT DISTINCT fid, entry_pos, value_len FROM vlog_entry WHERE value_len >= 0),
 kv AS (SELECT user_key, version, any_value(stream_id) AS stream_id, any_value(user_meta) AS user_meta, any_value(value) AS value
@@ -63,7 +79,7 @@ q AS (SELECT src, grp, pct, max(n) AS n, min(x) FILTER (WHERE r >= (n * pct + 99
   FROM r, (VALUES (50), (90), (99)) AS p(pct) GROUP BY src, grp, pct)
 """
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_error_rate, p4_found, p4_percentiles)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_error_rate, p4_found, p4_percentiles, p6_ids, p7_packed, p7_use)}
 
 ORACLE = {
     "p2_found": """
