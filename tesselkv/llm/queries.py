@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesselkv.llm import packing, seen, tokenize
+from tesselkv.llm import packing, seen, subjects, tokenize
 from tesselkv.llm import percentiles as pc
 from tesselkv.runtime import table
 
@@ -65,6 +65,17 @@ def p7_use(spark: SparkSession, d: str) -> DataFrame:
     return packing.use(_p7(spark, d), table(spark, d, "pack_capacity"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    fitted = subjects.fit_classifier(docs, table(spark, d, "subject_label"), table(spark, d, "subject_area"))
+    return subjects.classify(docs, fitted)
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    found = p8_found(spark, d)
+    return found.groupBy("subject").agg(F.count(F.lit(1)).alias("n_docs")).orderBy("subject")
+
+
 _P4 = r"""
 WITH log AS (SELECT DISTINCT fid, entry_pos, value_len FROM vlog_entry WHERE value_len >= 0),
 kv AS (SELECT user_key, version, any_value(stream_id) AS stream_id, any_value(user_meta) AS user_meta, any_value(value) AS value
@@ -79,7 +90,7 @@ q AS (SELECT src, grp, pct, max(n) AS n, min(x) FILTER (WHERE r >= (n * pct + 99
   FROM r, (VALUES (50), (90), (99)) AS p(pct) GROUP BY src, grp, pct)
 """
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_error_rate, p4_found, p4_percentiles, p6_ids, p7_packed, p7_use)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_error_rate, p4_found, p4_percentiles, p6_ids, p7_packed, p7_use, p8_found, p8_mix)}
 
 ORACLE = {
     "p2_found": """
