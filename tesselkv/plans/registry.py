@@ -1,6 +1,6 @@
 """All queries of the core and the SQL that checks them."""
 
-from tesselkv.plans import problems
+from tesselkv.plans import problems, store_queries
 
-QUERIES = {**problems.QUERIES}
-ORACLE = {**problems.ORACLE}
+QUERIES = {**store_queries.QUERIES, **problems.QUERIES}
+ORACLE = {**store_queries.ORACLE, **problems.ORACLE}
