@@ -249,7 +249,8 @@ class Store:
             sorted_ = kv.repartitionByRange(n, "user_key").sortWithinPartitions("user_key", F.col("version").desc())
             writer = self._sealed(sorted_, key_id).write.mode("overwrite").option("compression", integrity.CODECS[self.config.compression])
             if self.config.bloom:
-                writer = writer.option("parquet.bloom.filter.enabled#user_key", "true")
+                # Sized for the rows a file will hold, not the format's default of a megabyte.
+                writer = writer.option("parquet.bloom.filter.enabled#user_key", "true").option("parquet.bloom.filter.expected.ndv#user_key", str(-(-total // n)))
             writer.parquet(f"{self.files.root}/{folder}")
         finally:
             kv.unpersist()
