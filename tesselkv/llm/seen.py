@@ -162,12 +162,12 @@ def seen_before(history: DataFrame, incoming: DataFrame, key: str, order: str, e
     return both.where(F.col(seen) | (F.col(order) > F.col(first))).select(*incoming.columns)
 
 
-def error_rate(history: DataFrame, incoming: DataFrame, key: str, order: str, error: float = ERROR) -> DataFrame:
+def error_rate(history: DataFrame, incoming: DataFrame, key: str, order: str, error: float = ERROR, first_layer: int = FIRST_LAYER) -> DataFrame:
     """One row: keys asked, keys new to the history, wrong yes answers, rate and bound.
 
     The rate is wrong answers over keys new to the history (0 if there are none).
     """
-    j = judged_keys(history, incoming, key, order, error)
+    j = judged_keys(history, incoming, key, order, error, first_layer)
     wrong = F.sum((F.col("maybe") & ~F.col("seen")).cast("bigint"))
     new = F.sum((~F.col("seen")).cast("bigint"))
     row = j.agg(F.count(F.lit(1)).alias("asked"), F.coalesce(new, F.lit(0)).alias("new_keys"), F.coalesce(wrong, F.lit(0)).alias("wrong"), F.max("bound").alias("bound"))

@@ -146,13 +146,13 @@ class SubjectModels:
 class Accept(NamedTuple):
     """When a subject is accepted; fitted on labelled posts the models have not seen."""
 
-    gain: float  # a sentence counts above this many nats
+    gain: float  # a sentence counts above this gain, in words that are one subject's alone,
     mention: float  # and unless its turns of phrase are this much more of a passing mention,
     slope: float  # allowing more where the gain is greater
     share: float  # a subject holds this share of the post's counted evidence
 
 
-GRID = [Accept(g, m, a, s) for g in (1.0, 1.5, 2.0) for m in (0.5, 1.0, 2.0, 9.0) for a in (0.0, 0.3) for s in (0.1, 0.15, 0.2, 0.25)]
+GRID = [Accept(g, m, a, s) for g in (0.55, 0.85, 1.1) for m in (0.5, 1.0, 2.0, 9.0) for a in (0.0, 0.3) for s in (0.1, 0.15, 0.2, 0.25)]
 
 Post = tuple[list[list[str]], set[int]]
 
@@ -164,7 +164,9 @@ class SubjectClassifier:
         self.names = [s for s in subjects if s != GENERAL]
         self.models = SubjectModels(self.names)
         self.mentions = SubjectModels(["own", "mention"])
-        self.accept = Accept(1.5, 1.0, 0.3, 0.2)
+        self.accept = Accept(0.85, 1.0, 0.3, 0.2)
+        # What a word gains that is one subject's alone, all subjects being as large.
+        self.unit = float(np.log(1 + OWN * max(2, len(self.names)) / (1 - OWN)))
 
     def _train(self, posts: Sequence[Post], rounds: int = 2) -> None:
         """Labels belong to posts; which sentences carry them is found in rounds."""
@@ -179,11 +181,11 @@ class SubjectClassifier:
         def judged(words: list[str], labels: set[int]) -> np.ndarray:
             g = self.models.gain(words)
             best = int(g.argmax())
-            if g[best] > 2 and best in labels:
+            if g[best] > 1.1 * self.unit and best in labels:
                 return spread({best})
-            if g[best] > 4:
+            if g[best] > 2.2 * self.unit:
                 return spread({best}) / 2  # a passing mention, or a missing label
-            return spread(labels) if labels and g[best] <= 2 else even
+            return spread(labels) if labels else even
 
         self.models.fit([(s, spread(labels) if labels else even) for post, labels in posts for s in post])
         for _ in range(rounds):
@@ -192,7 +194,7 @@ class SubjectClassifier:
         for post, labels in posts:
             for s in post if labels else []:
                 g = self.models.gain(s)
-                if g.max() > 2.5:
+                if g.max() > 1.4 * self.unit:
                     clear.append((s, np.array([1.0, 0.0]) if int(g.argmax()) in labels else np.array([0.0, 1.0])))
         self.mentions.fit(clear)
 
@@ -208,7 +210,7 @@ class SubjectClassifier:
     def decide(self, evidence: Sequence[tuple[int, float, float]], accept: Accept) -> set[int]:
         mass = np.zeros(len(self.names))
         for best, gain, mention in evidence:
-            if gain > accept.gain and mention < accept.mention + accept.slope * gain:
+            if gain > accept.gain * self.unit and mention < accept.mention + accept.slope * gain:
                 mass[best] += gain**0.5
         enough = max(accept.share * mass.sum(), min(2.0, mass.max(initial=0.0)))
         return {i for i, x in enumerate(mass) if x > 0 and x >= enough}
