@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 GENERAL = "general"
 # A subject's own share of its model, smoothing of bigrams, steps of the fit.
 OWN, MU, STEPS = 0.3, 1.0, 12
-# A word in fewer sentences than this is a name or an error.
+# A word in fewer sentences than this is a name or an error, and evidence of nothing.
 RARE = 4
+_RARE_WORD = "\0"
 
 _BREAK = regex.compile(r"<br ?/?>|</p>|</td>|<p>", regex.I)
 _QUOTES = [regex.compile(r"\[quote[^\]\n]*\](?:(?!\[quote).)*?\[/quote\]", regex.I | regex.S), regex.compile(r"<blockquote>(?:(?!<blockquote).)*?</blockquote>", regex.I | regex.S)]
@@ -129,7 +130,7 @@ class SubjectModels:
         return self
 
     def common(self, words: Sequence[str]) -> Iterator[str]:
-        return (w if w in self.known else "?" for w in words)
+        return (w if w in self.known else _RARE_WORD for w in words)
 
     def gain(self, words: Sequence[str]) -> np.ndarray:
         rows, before = [], ""
@@ -137,7 +138,7 @@ class SubjectModels:
             row = self.row.get((before, w))
             if row is None:
                 row = self.row.get(w)
-            if row is not None:
+            if row is not None and w != _RARE_WORD:
                 rows.append(row)
             before = w
         return self.table[rows].sum(0)
