@@ -9,7 +9,7 @@ window inside one partition does the rest.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,23 +30,36 @@ def run_offsets(runs: DataFrame, group: Sequence[str], amount: Column, part: str
     return sums.withColumn("before", F.coalesce(F.sum("amount").over(earlier), F.lit(0)))
 
 
-def running_sum(df: DataFrame, group: Sequence[str], order: Sequence[str], amount: str, out: str = "before") -> DataFrame:
-    """``df`` with ``out``: the sum of ``amount`` over the group's earlier rows.
+def running(df: DataFrame, group: Sequence[str], order: Sequence[str], outs: Mapping[str, tuple[str, str]]) -> DataFrame:
+    """``df`` with running sums and maxima over the group's earlier rows.
 
-    ``order`` should be unique in a group; rows equal in it may lie either way, but
-    each has its own place.  Null groups form one group; a null amount counts 0.
+    ``outs`` maps a new column to ('sum' or 'max', column).  ``order`` should be unique
+    in a group; rows equal in it may lie either way, but each has its own place.
+    Null groups form one group.  A null amount counts 0 in a sum, and a sum over
+    nothing is 0; a maximum of nothing is null.
     """
-    part, own, base, at = fresh(df, "part", "own", "base", "at")
+    part, at = fresh(df, "part", "at")
+    own = dict(zip(outs, fresh(df, *[f"own_{c}" for c in outs]), strict=True))
+    how = {"sum": lambda c: F.sum(F.coalesce(F.col(c), F.lit(0))), "max": lambda c: F.max(c)}
+    join = {"sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)), "max": lambda a, b: F.greatest(a, b)}
     runs = sorted_runs(df, [*group, *order], part)
-    bases = run_offsets(runs, group, F.coalesce(F.col(amount), F.lit(0)), part)
-    bases = bases.select(*[F.col(g).alias(f"{at}{i}") for i, g in enumerate(group)], F.col(part).alias(f"{at}p"), F.col("before").alias(base))
+    whole = runs.groupBy(*group, part).agg(*[how[f](c).alias(own[o]) for o, (f, c) in outs.items()])
+    parts = Window.partitionBy(*group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    again = {"sum": F.sum, "max": F.max}
+    bases = whole.select(
+        *[F.col(g).alias(f"{at}{i}") for i, g in enumerate(group)], F.col(part).alias(f"{at}p"), *[again[f](own[o]).over(parts).alias(f"{at}{o}") for o, (f, _) in outs.items()]
+    )
     inside = Window.partitionBy(*group, part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    summed = runs.withColumn(own, F.coalesce(F.sum(amount).over(inside), F.lit(0)))
+    local = runs.withColumns({own[o]: how[f](c).over(inside) for o, (f, c) in outs.items()})
     same = F.col(part) == F.col(f"{at}p")
     for i, g in enumerate(group):
         same = same & F.col(g).eqNullSafe(F.col(f"{at}{i}"))
-    joined = summed.join(bases, same)
-    return joined.select(*df.columns, (F.col(own) + F.col(base)).alias(out))
+    return local.join(bases, same).select(*df.columns, *[join[f](F.col(own[o]), F.col(f"{at}{o}")).alias(o) for o, (f, _) in outs.items()])
+
+
+def running_sum(df: DataFrame, group: Sequence[str], order: Sequence[str], amount: str, out: str = "before") -> DataFrame:
+    """``running`` with one sum."""
+    return running(df, group, order, {out: ("sum", amount)})
 
 
 def salted_rank(df: DataFrame, group: Sequence[str], order: Sequence[str], out: str = "rank", rows_per_salt: int = 200_000) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesselkv import schema as S
-from tesselkv.operators.skew import HEAVY_MAX, HEAVY_ROWS, heavy_hashes, is_heavy
+from tesselkv.operators.skew import HEAVY_ROWS, sliced
 
 
 def judged(kv: DataFrame, now: int, discard_ts: int, keep: int = 1, has_overlap: bool = False, drop_prefixes: Sequence[bytes] = (), heavy_rows: int = HEAVY_ROWS) -> DataFrame:
@@ -31,24 +31,17 @@ def judged(kv: DataFrame, now: int, discard_ts: int, keep: int = 1, has_overlap:
     counts = (F.col("version") <= discard_ts) & ~S.has(S.MERGE)
     rows = kv.withColumn("elig", counts.cast("int")).withColumn("gone", S.gone(now)).withColumn("mark", S.has(S.DISCARD_EARLIER)).withColumn("under", under)
     alive = rows.where(~F.col("under"))
-    total = alive.count()
-    heavy = heavy_hashes(alive, ["user_key"], total, heavy_rows) if total > heavy_rows else []
     newer = Window.partitionBy("user_key", "salt").orderBy(F.col("version").desc())
-    if heavy:
-        span = alive.agg(F.min("version").alias("lo"), F.max("version").alias("hi")).first()
-        slices = -(-total // max(heavy_rows, total // HEAVY_MAX))
-        width = (span.hi - span.lo) // slices + 1
-        at = F.floor((F.lit(span.hi) - F.col("version")) / F.lit(width)).cast("int") + 1
-        alive = alive.withColumn("salt", F.when(is_heavy(["user_key"], heavy), at).otherwise(F.lit(0)))
+    alive, any_heavy = sliced(alive, "user_key", "version", "salt", heavy_rows)
+    if any_heavy:
         hard = (F.col("elig") == 1) & (F.col("gone") | F.col("mark"))
         sums = alive.where("salt > 0").groupBy("user_key", "salt").agg(F.sum("elig").alias("n"), F.max(hard).alias("hard"), F.max_by("mark", "version").alias("top"))
-        before = Window.partitionBy("user_key").orderBy("salt")
+        before = Window.partitionBy("user_key").orderBy(F.col("salt").desc())  # newer slices first
         earlier = before.rowsBetween(Window.unboundedPreceding, -1)
         carried = sums.select("user_key", "salt", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n0"), F.coalesce(F.max("hard").over(earlier), F.lit(False)).alias("hard0"), F.first("top").over(before).alias("top0"))
         alive = alive.join(carried, ["user_key", "salt"], "left")
         n0, hard0, top0 = F.coalesce("n0", F.lit(0)), F.coalesce("hard0", F.lit(False)), F.col("top0")
     else:
-        alive = alive.withColumn("salt", F.lit(0))
         n0, hard0, top0 = F.lit(0), F.lit(False), F.lit(None).cast("boolean")
     n = n0 + F.sum("elig").over(newer.rowsBetween(Window.unboundedPreceding, 0))
     with_n = alive.withColumn("n", n).withColumn("top", F.coalesce(top0, F.first("mark").over(newer))).withColumn("was", hard0 | (n0 >= keep))

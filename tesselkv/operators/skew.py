@@ -1,17 +1,18 @@
 """Per-key work on tables where a few keys hold most rows.
 
-Heavy keys are found exactly, from counts combined before the shuffle.  A key is
-heavy above ``max(heavy_rows, total / HEAVY_MAX)`` rows, so there are never more
-than ``HEAVY_MAX`` of them: their 64-bit hashes may travel as literals.  Two keys
-that share a hash only share the salting, never a result.
+Heavy keys are found exactly, from counts combined before the shuffle: the keys
+with more than ``heavy_rows`` rows, the ``HEAVY_MAX`` largest of them at most.  Any
+key beyond these holds less than a ``HEAVY_MAX``-th of all rows.  The 64-bit hashes
+of so few keys may travel as literals.  Two keys that share a hash only share the
+salting, never a result.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Sequence
 from typing import NamedTuple
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +20,8 @@ from tesselkv.runtime import fresh
 
 HEAVY_MAX = 1024
 HEAVY_ROWS = 200_000
+SLICES_MAX = 4096
+CELLS = 1 << 14
 
 
 class Merged(NamedTuple):
@@ -33,20 +36,39 @@ def key_hash(keys: Sequence[str]) -> Column:
     return F.xxhash64(*[F.col(k) for k in keys])
 
 
-def heavy_hashes(df: DataFrame, keys: Sequence[str], total: int | None = None, heavy_rows: int = HEAVY_ROWS) -> list[int]:
+def heavy_hashes(df: DataFrame, keys: Sequence[str], heavy_rows: int = HEAVY_ROWS) -> list[int]:
     """Hashes of the heavy keys, at most ``HEAVY_MAX``."""
-    total = df.count() if total is None else total
-    if total <= heavy_rows:
-        return []
-    least = max(heavy_rows, total // HEAVY_MAX)
-    counted = df.groupBy(key_hash(keys).alias("h")).agg(F.count(F.lit(1)).alias("n"))
-    return sorted(r.h for r in counted.where(F.col("n") > least).select("h").collect())
+    counted = df.groupBy(key_hash(keys).alias("h")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > heavy_rows)
+    return sorted(r.h for r in counted.orderBy(F.col("n").desc(), "h").limit(HEAVY_MAX).select("h").collect())
 
 
 def is_heavy(keys: Sequence[str], heavy: list[int]) -> Column:
     return key_hash(keys).isin(heavy) if heavy else F.lit(False)
 
 
+def sliced(rows: DataFrame, key: str, order: str, salt: str, heavy_rows: int = HEAVY_ROWS) -> tuple[DataFrame, bool]:
+    """``rows`` with ``salt``: 0, or for a heavy key the slice of ``order`` the row lies in.
+
+    Slices follow the distribution of the heavy rows, counted in ``CELLS`` cells of
+    equal width, so a burst in a short span is cut as well.  A slice holds about
+    ``heavy_rows`` rows of all heavy keys together, more only above ``SLICES_MAX``
+    slices.  Also says whether there is a heavy key at all.
+    """
+    heavy = heavy_hashes(rows, [key], heavy_rows)
+    if not heavy:
+        return rows.withColumn(salt, F.lit(0)), False
+    big = rows.where(is_heavy([key], heavy))
+    span = big.agg(F.min(order).alias("lo"), F.max(order).alias("hi")).first()
+    width = (span.hi - span.lo) // CELLS + 1
+    cell = F.expr(f"(`{order}` - {span.lo}) div {width}").cast("int")
+    counts = np.zeros(CELLS, np.int64)
+    for r in big.groupBy(cell.alias("cell")).count().collect():  # CELLS rows at most
+        counts[r.cell] = r["count"]
+    each = max(heavy_rows, -(-int(counts.sum()) // SLICES_MAX))
+    at = (1 + (np.cumsum(counts) - counts) // each).astype(np.int32)
+    return rows.withColumn(salt, F.when(is_heavy([key], heavy), F.get(F.lit(at), cell)).otherwise(F.lit(0))), True
+
+
 def salted_aggregate(df: DataFrame, keys: Sequence[str], merged: Sequence[Merged], spread_by: Sequence[str], heavy_rows: int = HEAVY_ROWS, salts: int = 64) -> DataFrame:
     """Two-stage aggregation: partials per (key, salt), then merged per key.
 
@@ -55,7 +77,7 @@ def salted_aggregate(df: DataFrame, keys: Sequence[str], merged: Sequence[Merged
     Null keys form one group, as in SQL.  An empty table gives no rows.
     """
     (salt,) = fresh(df, "salt")
-    heavy = heavy_hashes(df, keys, heavy_rows=heavy_rows)
+    heavy = heavy_hashes(df, keys, heavy_rows)
     spread = F.pmod(F.xxhash64(*[F.col(c) for c in spread_by]), F.lit(salts)).cast("int")
     salted = df.withColumn(salt, F.when(is_heavy(keys, heavy), spread).otherwise(F.lit(0)))
     partial = salted.groupBy(*keys, salt).agg(*[m.partial.alias(m.name) for m in merged])
@@ -78,21 +100,14 @@ def late_rows(df: DataFrame, key: str, order: str, version: str, heavy_rows: int
     """
     salt, carried, best = fresh(df, "salt", "carried", "best")
     rows = df.where(F.col(key).isNotNull() & F.col(order).isNotNull() & F.col(version).isNotNull())
-    span = rows.agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("lo"), F.max(order).alias("hi")).first()
-    heavy = heavy_hashes(rows, [key], span.n, heavy_rows) if span.n else []
+    rows, any_heavy = sliced(rows, key, order, salt, heavy_rows)
     rows = rows.withColumn(carried, F.lit(False))
-    if heavy:
-        slices = math.ceil(span.n / max(heavy_rows, span.n // HEAVY_MAX))
-        width = (span.hi - span.lo) // slices + 1
-        at = F.floor((F.col(order) - F.lit(span.lo)) / F.lit(width)).cast("int") + 1
-        rows = rows.withColumn(salt, F.when(is_heavy([key], heavy), at).otherwise(F.lit(0)))
-        tops = rows.where(F.col(salt) > 0).groupBy(key, salt).agg(F.max(version).alias(version))
+    if any_heavy:
+        tops = rows.where(F.col(salt) > 0).groupBy(key, salt).agg(F.max(version).alias(version), F.min(order).alias(order))
         before = Window.partitionBy(key).orderBy(salt).rowsBetween(Window.unboundedPreceding, -1)
-        into = tops.select(key, salt, F.max(version).over(before).alias(version)).where(F.col(version).isNotNull())
-        into = into.withColumn(carried, F.lit(True)).withColumn(order, F.lit(span.lo - 1).cast(df.schema[order].dataType))
-        rows = rows.unionByName(into, allowMissingColumns=True)
-    else:
-        rows = rows.withColumn(salt, F.lit(0))
+        first = (F.col(order) - 1).cast(df.schema[order].dataType)
+        into = tops.select(key, salt, first.alias(order), F.max(version).over(before).alias(version), F.lit(True).alias(carried))
+        rows = rows.unionByName(into.where(F.col(version).isNotNull()), allowMissingColumns=True)
     earlier = Window.partitionBy(key, salt).orderBy(order).rangeBetween(Window.unboundedPreceding, -1)
     judged = rows.withColumn(best, F.max(version).over(earlier))
     return judged.where((F.col(best) > F.col(version)) & ~F.col(carried)).select(*df.columns)
@@ -105,7 +120,7 @@ def unique_join(rows: DataFrame, facts: DataFrame, key: str, spread_by: str, how
     rows more); the rows of a heavy key are spread over the salts by ``spread_by``.
     Null keys match nothing.
     """
-    heavy = heavy_hashes(rows, [key], heavy_rows=heavy_rows)
+    heavy = heavy_hashes(rows, [key], heavy_rows)
     if not heavy:
         return rows.join(facts, key, how)
     (salt,) = fresh(rows.join(facts, key), "salt")

@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesselkv import schema as S
-from tesselkv.operators.skew import heavy_hashes, is_heavy
+from tesselkv.operators.ordered import sorted_runs
+from tesselkv.operators.skew import sliced, unique_join
 from tesselkv.runtime import fresh
 
 
@@ -71,14 +72,12 @@ def seek(kv: DataFrame, key: bytes, limit: int = 1) -> DataFrame:
     return kv.where(S.in_range(key)).orderBy("user_key", F.col("version").desc()).limit(limit)
 
 
-def neighbours(keys: DataFrame, parts: int | None = None) -> DataFrame:
+def neighbours(keys: DataFrame) -> DataFrame:
     """Distinct keys of ``keys`` with ``before`` and ``after``, null at the ends.
 
     The keys are sorted over the cluster; inside a partition neighbours are next to
     each other, and only the ends of partitions look further, one row each.
     """
-    from tesselkv.operators.ordered import sorted_runs
-
     runs = sorted_runs(keys.select("user_key").where("user_key IS NOT NULL").distinct(), ["user_key"])
     inside = Window.partitionBy("part").orderBy("user_key")
     ends = runs.groupBy("part").agg(F.min("user_key").alias("lo"), F.max("user_key").alias("hi"))
@@ -100,23 +99,14 @@ def multi_get(lookups: DataFrame, kv: DataFrame, now: int, heavy_rows: int = 200
     versions = rows.select("user_key", F.col("version").alias("at"), F.col("version").alias("v"), F.lit(None).cast("bigint").alias("lookup_id"), F.lit(0).alias("kind"))
     asked = lookups.select("user_key", F.col("read_ts").alias("at"), F.lit(None).cast("bigint").alias("v"), F.col("lookup_id").cast("bigint").alias("lookup_id"), F.lit(1).alias("kind"))
     both = versions.unionByName(asked.where(F.col("user_key").isNotNull() & F.col("at").isNotNull()))
-    heavy = heavy_hashes(both, ["user_key"], heavy_rows=heavy_rows)
-    span = both.agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("lo"), F.max("at").alias("hi")).first()
-    if heavy:
-        slices = -(-span.n // max(heavy_rows, span.n // 1024))
-        width = (span.hi - span.lo) // slices + 1
-        cut = F.floor((F.col("at") - span.lo) / F.lit(width)).cast("int") + 1
-        both = both.withColumn("salt", F.when(is_heavy(["user_key"], heavy), cut).otherwise(F.lit(0)))
+    both, any_heavy = sliced(both, "user_key", "at", "salt", heavy_rows)
+    if any_heavy:
         tops = both.where("salt > 0").groupBy("user_key", "salt").agg(F.max("v").alias("v"))
         earlier = Window.partitionBy("user_key").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
         into = tops.withColumn("v", F.max("v").over(earlier)).where("v IS NOT NULL")
         both = both.unionByName(into.select("user_key", F.lit(None).cast("bigint").alias("lookup_id"), "salt", F.col("v").alias("at"), "v", F.lit(0).alias("kind")))
-    else:
-        both = both.withColumn("salt", F.lit(0))
     w = Window.partitionBy("user_key", "salt").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
     hit = both.withColumn("version", F.max("v").over(w)).where("kind = 1 AND version IS NOT NULL").select("lookup_id", "user_key", "version")
-    from tesselkv.operators.skew import unique_join
-
     records = last_any(rows)
     return unique_join(hit.withColumn("kv_id", F.struct("user_key", "version")).drop("user_key", "version"), records.withColumn("kv_id", F.struct("user_key", "version")), "kv_id", "lookup_id").drop("kv_id").where(~S.gone(now))
 

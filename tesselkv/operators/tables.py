@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tesselkv.operators.changefeed import DELETE, UPSERT, plain_op
 from tesselkv.operators.merge import differences
+from tesselkv.operators.ordered import running
 from tesselkv.runtime import fresh
 
 
@@ -28,12 +29,10 @@ def level_violations(tables: DataFrame) -> DataFrame:
     """Tables of level 1 and deeper that begin before an earlier table of their level ends.
 
     The running maximum of ``biggest`` catches overlaps with any earlier table, not
-    only with the one before.  Metadata: one row a table.
+    only with the one before; it runs over sorted partitions, not a task a level.
     """
-    w = Window.partitionBy("level").orderBy("smallest", "table_id")
-    upto = F.max("biggest").over(w.rowsBetween(Window.unboundedPreceding, -1))
     deep = tables.where((F.col("level") >= 1) & F.col("smallest").isNotNull() & F.col("biggest").isNotNull())
-    return deep.withColumn("before", upto).where(F.col("before") >= F.col("smallest"))
+    return running(deep, ["level"], ["smallest", "table_id"], {"before": ("max", "biggest")}).where(F.col("before") >= F.col("smallest"))
 
 
 def overlaps(left: str, right: str, other_left: str, other_right: str) -> Column:
@@ -64,10 +63,9 @@ def overlap_counts(tables: DataFrame, up: int = 1) -> DataFrame:
     # starts <= my biggest: starts sort before me at equal keys; ends < my smallest: I sort before ends.
     mine_end = ok.select("level", F.col("biggest").alias("at"), F.lit(1).alias("kind"), zero.alias("n"), zero.alias("b"), "table_id")
     mine_start = ok.select("level", F.col("smallest").alias("at"), F.lit(0).alias("kind"), zero.alias("n"), zero.alias("b"), "table_id")
-    w = Window.partitionBy("level").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
 
     def upto(a: DataFrame, b: DataFrame, sign: int) -> DataFrame:
-        run = a.unionByName(b).withColumn("cn", F.sum("n").over(w)).withColumn("cb", F.sum("b").over(w))
+        run = running(a.unionByName(b), ["level"], ["at", "kind"], {"cn": ("sum", "n"), "cb": ("sum", "b")})
         return run.where("table_id IS NOT NULL").select("level", "table_id", (F.col("cn") * sign).alias("n"), (F.col("cb") * sign).alias("b"))
 
     both = upto(starts, mine_end, 1).unionByName(upto(ends, mine_start, -1))

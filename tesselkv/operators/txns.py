@@ -95,7 +95,7 @@ def recovered(log: DataFrame) -> DataFrame:
     """
     batches = log.groupBy("fid", "txn_ts", "is_txn").agg(F.min("pos").alias("start"), F.max("is_fin").alias("whole"))
     broken = batches.where("is_txn AND NOT whole").groupBy("fid").agg(F.min("start").alias("stop"))
-    upto = log.join(F.broadcast(broken), "fid", "left")  # one row a file
+    upto = log.join(broken, "fid", "left")
     return upto.where((F.col("stop").isNull() | (F.col("pos") < F.col("stop"))) & ~F.col("is_fin")).drop("stop")
 
 

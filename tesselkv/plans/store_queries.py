@@ -448,7 +448,7 @@ def _(s, d):
     """Keys that their own stream's filter denies: none."""
     keys = table(s, d, "kv_record").where("stream_id IS NOT NULL").select("stream_id", "user_key").distinct()
     filters = sketches.bloom_filters(keys, ["stream_id"], "user_key")
-    asked = keys.withColumn("h", sketches.bloom_hash_udf("user_key")).join(F.broadcast(filters), "stream_id")  # a filter a stream, of some streams
+    asked = keys.withColumn("h", sketches.bloom_hash_udf("user_key")).join(filters, "stream_id")
     has = asked.select("stream_id", sketches.bloom_may_have("bloom", "h").alias("has"))
     return has.agg(F.countDistinct("stream_id").alias("n_filters"), F.sum((~F.col("has")).cast("int")).cast("int").alias("missed"))
 
