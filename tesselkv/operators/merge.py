@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesselkv import schema as S
+from tesselkv.operators.skew import unique_join
 from tesselkv.runtime import fresh
 
 
@@ -42,3 +44,19 @@ def differences(have: DataFrame, want: DataFrame, key: str) -> DataFrame:
     a, b = have.select(key).distinct(), want.select(key).distinct()
     extra = a.join(b, key, "left_anti").withColumn("side", F.lit("extra"))
     return extra.unionByName(b.join(a, key, "left_anti").withColumn("side", F.lit("missing")))
+
+
+def merge_entries(kv: DataFrame, now: int, aggregates: Sequence[Column], read_ts: int | None = None) -> DataFrame:
+    """Per key ``aggregates`` over its newest plain record and the merge entries above it.
+
+    A plain record that is deleted or expired is an empty start; a key of merge
+    entries alone has none.  The aggregates combine before the shuffle, and rows of a
+    heavy key meet their key's start spread over several tasks.  One row per
+    (key, version) is expected; blanks don't count.
+    """
+    rows = kv.where(F.col("user_key").isNotNull() & F.col("version").isNotNull() & ~F.coalesce(S.blank(), F.lit(False)))
+    rows = rows if read_ts is None else rows.where(F.col("version") <= read_ts)
+    starts = rows.groupBy("user_key").agg(F.max(F.when(~S.has(S.MERGE), F.col("version"))).alias("_start"))
+    both = unique_join(rows, starts, "user_key", "version")
+    counts = F.col("_start").isNull() | (F.col("version") > F.col("_start")) | ((F.col("version") == F.col("_start")) & ~S.gone(now))
+    return both.where(counts).groupBy("user_key").agg(*aggregates)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tesselkv import schema as S
 from tesselkv.functions import codecs, sketches
 from tesselkv.operators import integrity, retention, snapshot, tables, txns, values
-from tesselkv.operators.merge import differences, merge_sources, overlay
+from tesselkv.operators.merge import differences, merge_entries, merge_sources, overlay
 from tesselkv.plans import levels
 from tesselkv.runtime import shared_path, table
 from tesselkv.sources import adapters as A
@@ -58,29 +58,29 @@ SHOW = "hex(user_key) AS user_key, version, hex(value) AS value"
 
 @query("q01_snapshot_latest", f"WITH {KV}, {_chosen()} SELECT {SHOW} FROM chosen WHERE NOT {GONE}")
 def _(s: SparkSession, d: str) -> DataFrame:
-    return _shown(snapshot.snapshot(A.kv(s, d), NOW))
+    return _shown(snapshot.snapshot(A.records(s, d), NOW, arrival="arrival"))
 
 
 for _ts in (1000, TS, 20_000):
 
     @query(f"q02_snapshot_as_of_{_ts}", f"WITH {KV}, {_chosen(_ts)} SELECT {SHOW} FROM chosen WHERE NOT {GONE}")
     def _(s: SparkSession, d: str, ts: int = _ts) -> DataFrame:
-        return _shown(snapshot.snapshot(A.kv(s, d), NOW, ts))
+        return _shown(snapshot.snapshot(A.records(s, d), NOW, ts, "arrival"))
 
 
 @query("q03_tombstoned_keys", f"WITH {KV}, {_chosen(TS)} SELECT hex(user_key) AS user_key, version FROM chosen WHERE meta & 1 <> 0")
 def _(s, d):
-    return snapshot.masked(A.kv(s, d), NOW, TS).where("why = 'deleted'").select(_key(), "version")
+    return snapshot.masked(A.records(s, d), NOW, TS, "arrival").where("why = 'deleted'").select(_key(), "version")
 
 
 @query("q04_expired_keys", f"WITH {KV}, {_chosen(TS)} SELECT hex(user_key) AS user_key, version, expires_at FROM chosen WHERE meta & 1 = 0 AND expires_at <> 0 AND expires_at <= {NOW}")
 def _(s, d):
-    return snapshot.masked(A.kv(s, d), NOW, TS).where("why = 'expired'").select(_key(), "version", "expires_at")
+    return snapshot.masked(A.records(s, d), NOW, TS, "arrival").where("why = 'expired'").select(_key(), "version", "expires_at")
 
 
 @query("q05_point_get", f"WITH {KV}, {_chosen(TS)} SELECT {SHOW} FROM chosen WHERE NOT {GONE} AND user_key = '{HOT.decode()}'::BLOB")
 def _(s, d):
-    return _shown(snapshot.point_get(A.kv(s, d), HOT, NOW, TS))
+    return _shown(snapshot.point_get(A.records(s, d), HOT, NOW, TS, "arrival"))
 
 
 @query("q06_history", f"WITH {KV} SELECT {SHOW}, CAST(meta AS INT) AS meta, expires_at FROM kv WHERE user_key = '{HOT.decode()}'::BLOB")
@@ -101,17 +101,17 @@ def _(s, d):
 
 @query("q08_range_scan", f"WITH {KV}, {_chosen()} SELECT {SHOW} FROM chosen WHERE NOT {GONE} AND user_key >= 'gauge:4'::BLOB AND user_key < 'gauge:9'::BLOB")
 def _(s, d):
-    return _shown(snapshot.scan(A.kv(s, d), NOW, within=S.in_range(b"gauge:4", b"gauge:9")))
+    return _shown(snapshot.scan(A.records(s, d), NOW, arrival="arrival", within=S.in_range(b"gauge:4", b"gauge:9")))
 
 
 @query("q09_reverse_scan_limit", f"WITH {KV}, {_chosen()} SELECT {SHOW} FROM chosen WHERE NOT {GONE} ORDER BY chosen.user_key DESC LIMIT 100")
 def _(s, d):
-    return _shown(snapshot.scan(A.kv(s, d), NOW, reverse=True, limit=100))
+    return _shown(snapshot.scan(A.records(s, d), NOW, arrival="arrival", reverse=True, limit=100))
 
 
 @query("q10_prefix_scan", f"WITH {KV}, {_chosen()} SELECT {SHOW} FROM chosen WHERE NOT {GONE} AND starts_with(hex(user_key), hex('sess-'::BLOB))")
 def _(s, d):
-    return _shown(snapshot.scan(A.kv(s, d), NOW, within=S.in_prefix(b"sess-")))
+    return _shown(snapshot.scan(A.records(s, d), NOW, arrival="arrival", within=S.in_prefix(b"sess-")))
 
 
 @query("q11_seek_ge", f"WITH {KV} SELECT {SHOW} FROM kv WHERE user_key >= 'map/'::BLOB ORDER BY kv.user_key, version DESC LIMIT 50")
@@ -154,7 +154,7 @@ def _(s, d):
     last = table(s, d, "kv_incoming").where("octet_length(user_key) > 0").groupBy("user_key").agg(F.max("incoming_id").alias("id"))
     meta = F.when(F.col("id") % 5 == 0, F.lit(S.DELETE)).otherwise(F.lit(0)).cast("smallint")
     pending = last.select("user_key", F.lit(S.MAX_VERSION).alias("version"), F.encode(F.col("id").cast("string"), "UTF-8").alias("value"), F.lit(0).cast("bigint").alias("expires_at"), F.lit(0).cast("smallint").alias("user_meta"), meta.alias("meta"), F.lit(None).cast(S.VPTR).alias("vptr"))
-    return _shown(overlay(pending, snapshot.newest(A.kv(s, d))).where(~S.gone(NOW)))
+    return _shown(overlay(pending, snapshot.newest(A.records(s, d), arrival="arrival").select(*S.KV_COLUMNS)).where(~S.gone(NOW)))
 
 
 def _retention_sql(keep: int, overlap: bool, prefixes: tuple[str, ...], pick: str) -> str:
@@ -333,7 +333,8 @@ def _(s, d):
     return p.select("fid", "pct", "bucket", F.round("value", 6).alias("value"))
 
 
-@query("q31b_dynamic_threshold")
+@query("q31b_dynamic_threshold", f"""WITH {_LOG}, h AS (SELECT CAST(floor(100 * ln(1 + value_len) + 0.5) AS INT) AS bucket, count(*) AS n FROM v GROUP BY 1),
+  c AS (SELECT *, sum(n) OVER (ORDER BY bucket) AS upto, sum(n) OVER () AS total FROM h) SELECT least(greatest(CAST(round(exp(min(bucket) / 100.0) - 1) AS BIGINT), 64), 1048576) AS threshold FROM c WHERE upto >= total * 0.9""")
 def _(s, d):
     return values.dynamic_threshold(A.log_entries(s, d).where("value_len >= 0"), "value_len", 0.9, 64, 1 << 20)
 
@@ -515,7 +516,8 @@ def _(s, d):
     return tables.revert(table(s, d, "table_info").where("table_id IS NOT NULL").select("table_id"), table(s, d, "manifest_changes"))
 
 
-@query("q49_key_prefix_overlap")
+@query("q49_key_prefix_overlap", """WITH k AS (SELECT DISTINCT hex(user_key) AS h, substr(hex(user_key), 1, 6) AS block FROM kv_record), f AS (SELECT block, min(h) AS first FROM k GROUP BY block)
+  SELECT block, h AS user_key, CAST(coalesce(list_min(list_filter(range(1, least(len(h), len(first)) // 2 + 1), lambda i: substr(h, CAST(i * 2 - 1 AS BIGINT), 2) <> substr(first, CAST(i * 2 - 1 AS BIGINT), 2))) - 1, least(len(h), len(first)) // 2) AS INT) AS shared FROM k JOIN f USING (block)""")
 def _(s, d):
     keys = table(s, d, "kv_record").select("user_key").distinct()
     return tables.prefix_overlap(keys.withColumn("block", F.substring(F.hex("user_key"), 1, 6)), ["block"]).select("block", _key(), "shared")
@@ -564,3 +566,14 @@ def _(s, d):
 @query("q53_set_difference", "SELECT hex(user_key) AS user_key, 'extra' AS side FROM (SELECT DISTINCT user_key FROM kv_incoming WHERE user_key IS NOT NULL) i WHERE NOT EXISTS (SELECT 1 FROM kv_record k WHERE k.user_key = i.user_key) UNION ALL SELECT hex(user_key), 'missing' FROM (SELECT DISTINCT user_key FROM kv_record) k WHERE NOT EXISTS (SELECT 1 FROM kv_incoming i WHERE i.user_key = k.user_key)")
 def _(s, d):
     return differences(table(s, d, "kv_incoming").where("user_key IS NOT NULL"), table(s, d, "kv_record"), "user_key").select(_key(), "side")
+
+
+@query(
+    "q54_merge_entries",
+    f"""WITH {KV}, r AS (SELECT *, max(version) FILTER (WHERE meta & 8 = 0) OVER (PARTITION BY user_key) AS base FROM kv WHERE {REAL}),
+  x AS (SELECT * FROM r WHERE version > coalesce(base, -1) OR (version = base AND NOT {GONE}))
+  SELECT hex(user_key) AS user_key, count(*) AS n_merged, max(version) AS version, CAST(coalesce(sum(octet_length(value)), 0) AS BIGINT) AS n_bytes FROM x GROUP BY x.user_key""",
+)
+def _(s, d):
+    totals = [F.count(F.lit(1)).alias("n_merged"), F.max("version").alias("version"), F.coalesce(F.sum(F.octet_length("value").cast("bigint")), F.lit(0)).alias("n_bytes")]
+    return merge_entries(A.kv(s, d), NOW, totals).withColumn("user_key", F.hex("user_key"))

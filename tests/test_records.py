@@ -259,3 +259,14 @@ def test_write_errors(spark):
     df = spark.createDataFrame([(k if k is None else bytearray(k), v if v is None else bytearray(v)) for k, v in rows], "user_key binary, value binary")
     got = [r.e for r in df.select(S.write_error(10, [7], 0).alias("e")).collect()]
     assert got == ["EmptyKey", "EmptyKey", "InvalidKey", "InvalidKey", "ValueLogSize", "BannedKey", None, None]
+
+
+@pytest.mark.parametrize("heavy_rows", [10, 100_000])
+def test_merge_entries(spark, heavy_rows, monkeypatch):
+    monkeypatch.setattr(merge, "unique_join", lambda a, b, k, by: __import__("tesselkv.operators.skew", fromlist=["x"]).unique_join(a, b, k, by, heavy_rows=heavy_rows))
+    rows = [(b"hot", v, b"x" * v, 8 if v % 10 else 64, 0) for v in range(1, 36)]
+    rows += [(b"a", 1, b"1", 8, 0), (b"a", 2, b"22", 8, 0), (b"d", 1, b"1", 64, 0), (b"d", 2, b"", 1, 0), (b"d", 3, b"333", 8, 0), (b"e", 1, b"1", 64, 50), (b"b", 1, b"", 0, 0)]
+    got = merge.merge_entries(kv(spark, rows), 100, [F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("value")).alias("bytes")]).collect()
+    assert {bytes(r.user_key): (r.n, r.bytes) for r in got} == {b"hot": (6, sum(range(30, 36))), b"a": (2, 3), b"d": (1, 3)}
+    early = merge.merge_entries(kv(spark, rows), 0, [F.max("version").alias("v")], read_ts=19).collect()
+    assert {bytes(r.user_key): r.v for r in early} == {b"hot": 19, b"a": 2, b"d": 3, b"e": 1}
