@@ -91,8 +91,12 @@ class SubjectModels:
         self.known: set[str] = set()
         self.table = np.zeros((0, len(self.subjects)), np.float32)
 
-    def fit(self, weighted: Sequence[tuple[list[str], np.ndarray]]) -> SubjectModels:
-        """From sentences with a weight per subject; rare words are one word."""
+    def fit(self, weighted: Sequence[tuple[list[str], np.ndarray]], balanced: bool = True) -> SubjectModels:
+        """From sentences with a weight per subject; rare words are one word.
+
+        If ``balanced``, every subject weighs the same in the background, however
+        often it occurs.
+        """
         seen = Counter(w for words, _ in weighted for w in set(words))
         self.known = {w for w, n in seen.items() if n >= RARE}
         ones: dict[str, int] = {}
@@ -114,6 +118,9 @@ class SubjectModels:
         c1, c2, ch = np.zeros((len(ones), k)), np.zeros((len(twos), k)), np.zeros((len(ones), k))
         for to, at in ((c1, at1), (c2, at2), (ch, first)):
             np.add.at(to, at, each)
+        if balanced:
+            weigh = c1.sum(0).mean() / np.maximum(c1.sum(0), 1.0)
+            c1, c2, ch = c1 * weigh, c2 * weigh, ch * weigh
         base = (c1.sum(1) + 0.5) / (c1.sum() + 0.5 * len(ones))
         own = c1 / np.maximum(c1.sum(0), 1e-9)
         for _ in range(STEPS):
@@ -151,9 +158,10 @@ class Accept(NamedTuple):
     mention: float  # and unless its turns of phrase are this much more of a passing mention,
     slope: float  # allowing more where the gain is greater
     share: float  # a subject holds this share of the post's counted evidence
+    bonus: float  # and the post's subjects are preferred by this much where sentences are close
 
 
-GRID = [Accept(g, m, a, s) for g in (0.55, 0.85, 1.1) for m in (0.5, 1.0, 2.0, 9.0) for a in (0.0, 0.3) for s in (0.1, 0.15, 0.2, 0.25)]
+GRID = [Accept(g, m, a, s, b) for g in (0.55, 0.85, 1.1) for m in (0.5, 2.0, 9.0) for a in (0.0, 0.3) for s in (0.15, 0.2, 0.25) for b in (0.0, 0.5, 1.0)]
 
 Post = tuple[list[list[str]], set[int]]
 
@@ -165,7 +173,7 @@ class SubjectClassifier:
         self.names = [s for s in subjects if s != GENERAL]
         self.models = SubjectModels(self.names)
         self.mentions = SubjectModels(["own", "mention"])
-        self.accept = Accept(0.85, 1.0, 0.3, 0.2)
+        self.accept = Accept(0.85, 1.0, 0.3, 0.2, 0.5)
         # What a word gains that is one subject's alone, all subjects being as large.
         self.unit = float(np.log(1 + OWN * max(2, len(self.names)) / (1 - OWN)))
 
@@ -197,22 +205,28 @@ class SubjectClassifier:
                 g = self.models.gain(s)
                 if g.max() > 1.4 * self.unit:
                     clear.append((s, np.array([1.0, 0.0]) if int(g.argmax()) in labels else np.array([0.0, 1.0])))
-        self.mentions.fit(clear)
+        self.mentions.fit(clear, balanced=False)
 
-    def evidence(self, post: Sequence[list[str]]) -> list[tuple[int, float, float]]:
-        """Per sentence: its best subject, that gain, and how much it is a mention."""
-        out = []
-        for words in post:
-            g, m = self.models.gain(words), self.mentions.gain(words)
-            best = int(g.argmax())
-            out.append((best, float(g[best]), float(m[1] - m[0])))
-        return out
+    def evidence(self, post: Sequence[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Per sentence its gain for each subject, and how much it is a mention."""
+        gains = np.array([self.models.gain(w) for w in post]).reshape(len(post), len(self.names))
+        ways = np.array([self.mentions.gain(w) for w in post]).reshape(len(post), 2)
+        return gains, ways[:, 1] - ways[:, 0]
+
+    def decide(self, evidence: tuple[np.ndarray, np.ndarray], accept: Accept) -> set[int]:
+        """Subjects with enough of the sentences' evidence.
 
-    def decide(self, evidence: Sequence[tuple[int, float, float]], accept: Accept) -> set[int]:
+        A sentence counts for its best subject.  In a second pass the subjects of the
+        whole post weigh in, which settles sentences that are close between two.
+        """
+        gains, mention = evidence
         mass = np.zeros(len(self.names))
-        for best, gain, mention in evidence:
-            if gain > accept.gain * self.unit and mention < accept.mention + accept.slope * gain:
-                mass[best] += gain**0.5
+        for bonus in (0.0, accept.bonus * self.unit):
+            prior = bonus * mass / max(mass.sum(), 1e-9)
+            best = (gains + prior).argmax(1) if len(gains) else np.zeros(0, int)
+            gain = gains[np.arange(len(gains)), best]
+            counts = (gain > accept.gain * self.unit) & (mention < accept.mention + accept.slope * gain)
+            mass = np.bincount(best[counts], np.sqrt(gain[counts]), len(self.names))
         enough = max(accept.share * mass.sum(), min(2.0, mass.max(initial=0.0)))
         return {i for i, x in enumerate(mass) if x > 0 and x >= enough}
 
