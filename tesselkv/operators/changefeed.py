@@ -29,12 +29,14 @@ def latest_changes(changes: DataFrame, key: str, seq: str, op: str) -> DataFrame
     The ranking keeps one row per key and partition before it shuffles, so a key
     with a third of all changes makes no large task.
     """
-    (rank,) = fresh(changes, "rank")
-    read = changes.withColumn(op, plain_op(F.col(op)))
-    read = read.where(F.col(key).isNotNull() & F.col(seq).isNotNull() & F.col(op).isNotNull())
+    rank, made = fresh(changes, "rank", "made")
+    # A flag in place of the spelling: with fixed-width columns copies are dropped by hash.
+    read = changes.withColumn(made, plain_op(F.col(op)) == UPSERT).drop(op)
+    read = read.where(F.col(key).isNotNull() & F.col(seq).isNotNull() & F.col(made).isNotNull())
     once = read.dropDuplicates([key, seq])
     last = Window.partitionBy(key).orderBy(F.col(seq).desc())
-    return once.withColumn(rank, F.row_number().over(last)).where(F.col(rank) == 1).drop(rank)
+    first = once.withColumn(rank, F.row_number().over(last)).where(F.col(rank) == 1)
+    return first.withColumn(op, F.when(F.col(made), UPSERT).otherwise(DELETE)).select(*changes.columns)
 
 
 def apply_changes(base: DataFrame | None, changes: DataFrame, key: str, seq: str, op: str, keep: Sequence[str]) -> DataFrame:

@@ -28,6 +28,7 @@ class Config:
     encryption_key: bytes = b""
     key_rotation: int = 10 * 86_400
     output_rows: int = 5_000_000
+    log_commits: int = 1000  # a flush is due at so many commits, or at a memtable's bytes
     levels: LevelConfig = field(default_factory=LevelConfig)
 
     @property

@@ -170,7 +170,11 @@ class Store:
         self._writable()
         path, key_id = f"log/commit-{ts:020}", self.keys.latest(self.now())
         self._sealed(rows, key_id).write.mode("overwrite").option("compression", "zstd").parquet(f"{self.files.root}/{path}")
-        self._swap(log=[*self.state["log"], {"path": path, "ts": ts, "key": key_id}], max_version=max(self.state["max_version"], ts))
+        commit = {"path": path, "ts": ts, "key": key_id, "size": self.files.size(path)}
+        self._swap(log=[*self.state["log"], commit], max_version=max(self.state["max_version"], ts))
+        held = self.state["log"]
+        if len(held) >= self.config.log_commits or sum(c["size"] for c in held) >= self.config.levels.memtable_size:
+            self.flush()
 
     # Values at rest
 

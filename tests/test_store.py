@@ -268,3 +268,11 @@ def test_state_table_of_a_feed(spark, tmp_path):
     s.apply(spark.createDataFrame([(1, 4, "1", None), (2, 3, "delete", None)], kind), 1)
     s.apply(spark.createDataFrame([(2, 9, "0", 9)], kind), 1)  # a batch that comes again
     assert [(r.table_id, r.level) for r in s.read(spark).collect()] == [(1, 2)]
+
+
+def test_flush_when_due(spark, tmp_path):
+    with Store(spark, f"file://{tmp_path}/s", Config(log_commits=2)) as s:
+        for i in range(3):
+            s.update(lambda t, i=i: t.set(b"k%d" % i, b"v"))
+        assert len(s.state["tables"]) == 1 and len(s.state["log"]) == 1
+        assert s.scan().count() == 3
