@@ -101,21 +101,38 @@ def bloom_hash_udf(keys: pd.Series) -> pd.Series:
 
 
 def bloom_filters(df: DataFrame, group: Sequence[str], key: str, error: float = 0.01) -> DataFrame:
-    """Columns ``group``, bloom: one filter per group of at most a table's keys.
+    """Columns ``group``, bloom: one filter per group.
 
-    Hashes are gathered per group; a group is one sorted table, whose size the
-    store bounds.
+    A group is a sorted table, or another set of keys of bounded size: its hashes
+    meet in one task (``bounded_groups`` makes such groups of any keys).
     """
-    build = F.udf(lambda h: bytearray(bloom_build(h, error)), "binary")
+
+    def build(rows: pd.DataFrame) -> pd.DataFrame:
+        out = rows.iloc[:1].drop(columns="h")
+        return out.assign(bloom=bloom_build(sorted(set(rows["h"])), error))
+
     hashed = df.where(F.col(key).isNotNull()).select(*group, bloom_hash_udf(F.col(key)).alias("h"))
-    return hashed.groupBy(*group).agg(F.sort_array(F.collect_set("h")).alias("h")).select(*group, build("h").alias("bloom"))
+    kinds = ", ".join(f"`{g}` {df.schema[g].dataType.simpleString()}" for g in group)
+    return hashed.groupBy(*group).applyInPandas(build, f"{kinds}, bloom binary")
+
+
+def bounded_groups(df: DataFrame, key: str, out: str, rows: int = 100_000) -> DataFrame:
+    """``df`` with ``out``: a number, by a hash of ``key``, that about ``rows`` keys share."""
+    n = max(1, -(-df.count() // rows))
+    return df.withColumn(out, F.pmod(F.xxhash64(key), F.lit(n)).cast("int"))
+
+
+def bloom_probe(keys: DataFrame, filters: DataFrame, group: Sequence[str], key: str) -> DataFrame:
+    """Columns ``group``, ``key``, has: what each key's own group's filter says.
+
+    Filter and keys of a group meet in one task, the filter once; a group without a
+    filter has nothing.
+    """
 
+    def probe(rows: pd.DataFrame, bloom: pd.DataFrame) -> pd.DataFrame:
+        has = bloom_has(bytes(bloom["bloom"].iloc[0]), rows["h"]) if len(bloom) else np.zeros(len(rows), bool)
+        return rows.drop(columns="h").assign(has=has)
 
-@pandas_udf(T.BooleanType())
-def bloom_may_have(blooms: pd.Series, hashes: pd.Series) -> pd.Series:
-    """Row by row: may the filter hold the hash?"""
-    out = np.zeros(len(blooms), bool)
-    for bloom, at in blooms.groupby(blooms.map(bytes), sort=False).groups.items():
-        where = blooms.index.get_indexer(at)
-        out[where] = bloom_has(bloom, hashes.loc[at].astype("int64"))
-    return pd.Series(out)
+    hashed = keys.where(F.col(key).isNotNull()).select(*group, key, bloom_hash_udf(F.col(key)).alias("h"))
+    kinds = ", ".join(f"`{c}` {keys.schema[c].dataType.simpleString()}" for c in (*group, key))
+    return hashed.groupBy(*group).cogroup(filters.groupBy(*group)).applyInPandas(probe, f"{kinds}, has boolean")

@@ -86,7 +86,7 @@ def neighbours(keys: DataFrame) -> DataFrame:
     outer = Window.orderBy("lo")  # one row a partition
     ends = ends.select("part", F.lag("hi").over(outer).alias("prev"), F.lead("lo").over(outer).alias("next"))
     near = runs.withColumn("before", F.lag("user_key").over(inside)).withColumn("after", F.lead("user_key").over(inside))
-    return near.join(F.broadcast(ends), "part").select("user_key", F.coalesce("before", "prev").alias("before"), F.coalesce("after", "next").alias("after"))
+    return near.join(ends, "part").select("user_key", F.coalesce("before", "prev").alias("before"), F.coalesce("after", "next").alias("after"))
 
 
 def multi_get(lookups: DataFrame, kv: DataFrame, now: int, heavy_rows: int = 200_000) -> DataFrame:

@@ -101,8 +101,8 @@ def manifest_rewrite_due(changes: DataFrame) -> DataFrame:
     """
     read = changes.withColumn("op", plain_op(F.col("op"))).where("op IS NOT NULL").dropDuplicates(["table_id", "seq"])
     sums = read.agg(F.coalesce(F.sum((F.col("op") == UPSERT).cast("bigint")), F.lit(0)).alias("creations"), F.coalesce(F.sum((F.col("op") == DELETE).cast("bigint")), F.lit(0)).alias("deletions"))
-    live = manifest_state(changes).agg(F.count(F.lit(1)).alias("live"))
-    return sums.crossJoin(live).withColumn("rewrite", (F.col("deletions") > 10_000) & (F.col("deletions") > 10 * F.col("live")))  # one row by one row
+    live = manifest_state(changes).count()
+    return sums.withColumn("live", F.lit(live).cast("bigint")).withColumn("rewrite", (F.col("deletions") > 10_000) & (F.col("deletions") > 10 * F.col("live")))
 
 
 def revert(files: DataFrame, changes: DataFrame) -> DataFrame:

@@ -444,14 +444,13 @@ def _(s, d):
     return s.createDataFrame([(t, "".join("01"[b] for b in parse_ignore(t))) for t in texts], "text string, mask string")
 
 
-@query("q42_bloom_probe", "SELECT count(DISTINCT stream_id) AS n_filters, 0 AS missed FROM kv_record WHERE stream_id IS NOT NULL")
+@query("q42_bloom_probe", "SELECT count(*) AS n_keys, count(DISTINCT stream_id) AS n_streams, 0 AS missed FROM (SELECT DISTINCT stream_id, user_key FROM kv_record WHERE stream_id IS NOT NULL)")
 def _(s, d):
-    """Keys that their own stream's filter denies: none."""
+    """Keys that their own filter denies: none.  A filter holds a bounded part of a stream's keys."""
     keys = table(s, d, "kv_record").where("stream_id IS NOT NULL").select("stream_id", "user_key").distinct()
-    filters = sketches.bloom_filters(keys, ["stream_id"], "user_key")
-    asked = keys.withColumn("h", sketches.bloom_hash_udf("user_key")).join(filters, "stream_id")
-    has = asked.select("stream_id", sketches.bloom_may_have("bloom", "h").alias("has"))
-    return has.agg(F.countDistinct("stream_id").alias("n_filters"), F.sum((~F.col("has")).cast("int")).cast("int").alias("missed"))
+    keys = sketches.bounded_groups(keys, "user_key", "part")
+    has = sketches.bloom_probe(keys, sketches.bloom_filters(keys, ["stream_id", "part"], "user_key"), ["stream_id", "part"], "user_key")
+    return has.agg(F.count(F.lit(1)).alias("n_keys"), F.countDistinct("stream_id").alias("n_streams"), F.sum((~F.col("has")).cast("int")).cast("int").alias("missed"))
 
 
 @query("q43_bloom_hash")
