@@ -25,6 +25,8 @@ OWN, MU, STEPS = 0.3, 1.0, 12
 # A word in fewer sentences than this is a name or an error, and evidence of nothing.
 RARE = 4
 _RARE_WORD = "\0"
+# Sentences a model remembers.
+REMEMBERED = 30_000
 
 _BREAK = regex.compile(r"<br ?/?>|</p>|</td>|<p>", regex.I)
 _QUOTES = [regex.compile(r"\[quote[^\]\n]*\](?:(?!\[quote).)*?\[/quote\]", regex.I | regex.S), regex.compile(r"<blockquote>(?:(?!<blockquote).)*?</blockquote>", regex.I | regex.S)]
@@ -64,13 +66,13 @@ def own_words(text: str | None) -> str:
     return _TAG.sub("", t).strip()
 
 
-def sentences(text: str) -> list[list[str]]:
+def sentences(text: str) -> list[tuple[str, ...]]:
     """Words of each sentence, in lower case, numbers as 0."""
     out = []
     for s in _SENTENCE.split(text):
-        words = ["0" if w[0].isnumeric() else w.lower() for w in _WORD.findall(_NOT_WORDS.sub(" ", s))]
-        if any(w[0].isalpha() for w in words):
-            out.append(words)
+        words = ("0" if w[0].isnumeric() else w for w in _WORD.findall(_NOT_WORDS.sub(" ", s.lower())))
+        if any(c.isalpha() for c in s):
+            out.append(tuple(words))
     return out
 
 
@@ -89,15 +91,26 @@ class SubjectModels:
         self.subjects = list(subjects)
         self.row: dict[str | tuple[str, str], int] = {}
         self.known: set[str] = set()
+        self.gains: dict[tuple[str, ...], np.ndarray] = {}
         self.table = np.zeros((0, len(self.subjects)), np.float32)
 
-    def fit(self, weighted: Sequence[tuple[list[str], np.ndarray]], balanced: bool = True) -> SubjectModels:
+    def fit(self, weighted: Sequence[tuple[tuple[str, ...], np.ndarray]], balanced: bool = True) -> SubjectModels:
         """From sentences with a weight per subject; rare words are one word.
 
         If ``balanced``, every subject weighs the same in the background, however
         often it occurs.
         """
-        seen = Counter(w for words, _ in weighted for w in set(words))
+        each_once: dict[tuple[str, ...], np.ndarray] = {}
+        times: Counter[tuple[str, ...]] = Counter()
+        for words, weight in weighted:
+            each_once[words] = each_once[words] + weight if words in each_once else weight
+            times[words] += 1
+        weighted = list(each_once.items())
+        seen: Counter[str] = Counter()
+        for words, n in times.items():
+            for w in set(words):
+                seen[w] += n
+        self.gains = {}
         self.known = {w for w, n in seen.items() if n >= RARE}
         ones: dict[str, int] = {}
         twos: dict[tuple[str, str], int] = {}
@@ -139,16 +152,22 @@ class SubjectModels:
     def common(self, words: Sequence[str]) -> Iterator[str]:
         return (w if w in self.known else _RARE_WORD for w in words)
 
-    def gain(self, words: Sequence[str]) -> np.ndarray:
-        rows, before = [], ""
-        for w in self.common(words):
-            row = self.row.get((before, w))
-            if row is None:
-                row = self.row.get(w)
-            if row is not None and w != _RARE_WORD:
-                rows.append(row)
-            before = w
-        return self.table[rows].sum(0)
+    def gain(self, words: tuple[str, ...]) -> np.ndarray:
+        """Zero for no words; sentences judged before are remembered, a bounded number."""
+        if (found := self.gains.get(words)) is not None:
+            return found
+        rows, before, known, row_of = [], "", self.known, self.row.get
+        for w in words:
+            if w in known:
+                row = row_of((before, w))
+                rows.append(row_of(w) if row is None else row)
+                before = w
+            else:
+                before = _RARE_WORD
+        if len(self.gains) >= REMEMBERED:
+            self.gains.clear()
+        found = self.gains[words] = self.table[rows].sum(0)
+        return found
 
 
 class Accept(NamedTuple):
@@ -163,7 +182,7 @@ class Accept(NamedTuple):
 
 GRID = [Accept(g, m, a, s, b) for g in (0.55, 0.85, 1.1) for m in (0.5, 2.0, 9.0) for a in (0.0, 0.3) for s in (0.15, 0.2, 0.25) for b in (0.0, 0.5, 1.0)]
 
-Post = tuple[list[list[str]], set[int]]
+Post = tuple[list[tuple[str, ...]], set[int]]
 
 
 class SubjectClassifier:
@@ -187,7 +206,7 @@ class SubjectClassifier:
             w[list(labels)] = 1 / len(labels)
             return w
 
-        def judged(words: list[str], labels: set[int]) -> np.ndarray:
+        def judged(words: tuple[str, ...], labels: set[int]) -> np.ndarray:
             g = self.models.gain(words)
             best = int(g.argmax())
             if g[best] > 1.1 * self.unit and best in labels:
@@ -207,7 +226,7 @@ class SubjectClassifier:
                     clear.append((s, np.array([1.0, 0.0]) if int(g.argmax()) in labels else np.array([0.0, 1.0])))
         self.mentions.fit(clear, balanced=False)
 
-    def evidence(self, post: Sequence[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    def evidence(self, post: Sequence[tuple[str, ...]]) -> tuple[np.ndarray, np.ndarray]:
         """Per sentence its gain for each subject, and how much it is a mention."""
         gains = np.array([self.models.gain(w) for w in post]).reshape(len(post), len(self.names))
         ways = np.array([self.mentions.gain(w) for w in post]).reshape(len(post), 2)
@@ -242,6 +261,8 @@ class SubjectClassifier:
             self.accept = max(GRID, key=lambda a: self.f1([(self.decide(e, a), true) for e, true in known]))
         if posts and self.names:
             self._train(posts)
+        for m in (self.models, self.mentions):
+            m.gains = {}  # not to be sent along
         return self
 
     @staticmethod
