@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tesselkv import schema as S
 from tesselkv.operators.skew import HEAVY_ROWS, sliced
+from tesselkv.runtime import set_aside
 
 
 def judged(kv: DataFrame, now: int, discard_ts: int, keep: int = 1, has_overlap: bool = False, drop_prefixes: Sequence[bytes] = (), heavy_rows: int = HEAVY_ROWS) -> DataFrame:
@@ -27,6 +28,7 @@ def judged(kv: DataFrame, now: int, discard_ts: int, keep: int = 1, has_overlap:
     the key was stopped, whether its newest version discards) is summed per slice and
     carried, so no task sees a whole heavy key.
     """
+    kv, undo = set_aside(kv, S.KV_COLUMNS)
     under = reduce(lambda a, b: a | b, [S.in_prefix(p) for p in drop_prefixes], F.lit(False))
     counts = (F.col("version") <= discard_ts) & ~S.has(S.MERGE)
     rows = kv.withColumn("elig", counts.cast("int")).withColumn("gone", S.gone(now)).withColumn("mark", S.has(S.DISCARD_EARLIER)).withColumn("under", under)
@@ -51,7 +53,7 @@ def judged(kv: DataFrame, now: int, discard_ts: int, keep: int = 1, has_overlap:
     dropped = after | (F.col("stop") & F.col("gone") & F.lit(not has_overlap))
     told = stopped.withColumn("dropped", dropped).withColumn("stale", ~F.col("dropped") & (F.col("top") | F.col("gone")))
     whole = told.select(*kv.columns, "dropped", "stale")
-    return whole.unionByName(rows.where("under").select(*kv.columns, F.lit(True).alias("dropped"), F.lit(False).alias("stale"))) if drop_prefixes else whole
+    return undo(whole.unionByName(rows.where("under").select(*kv.columns, F.lit(True).alias("dropped"), F.lit(False).alias("stale"))) if drop_prefixes else whole)
 
 
 def kept(judged_kv: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tesselkv import schema as S
 from tesselkv.operators.ordered import sorted_runs
 from tesselkv.operators.skew import sliced, unique_join
-from tesselkv.runtime import fresh
+from tesselkv.runtime import fresh, set_aside
 
 
 def last_written(records: DataFrame, arrival: str) -> DataFrame:
@@ -97,6 +97,7 @@ def multi_get(lookups: DataFrame, kv: DataFrame, now: int, heavy_rows: int = 200
     before it, so no lookup is paired with all versions of its key; a heavy key is
     sliced by version, the last version of earlier slices entering each slice.
     """
+    kv, undo = set_aside(kv, S.KV_COLUMNS)
     rows = kv.where(F.col("user_key").isNotNull() & F.col("version").isNotNull() & ~F.coalesce(S.blank(), F.lit(False)))
     versions = rows.select("user_key", F.col("version").alias("at"), F.col("version").alias("v"), F.lit(None).cast("bigint").alias("lookup_id"), F.lit(0).alias("kind"))
     asked = lookups.select("user_key", F.col("read_ts").alias("at"), F.lit(None).cast("bigint").alias("v"), F.col("lookup_id").cast("bigint").alias("lookup_id"), F.lit(1).alias("kind"))
@@ -110,7 +111,8 @@ def multi_get(lookups: DataFrame, kv: DataFrame, now: int, heavy_rows: int = 200
     w = Window.partitionBy("user_key", "salt").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
     hit = both.withColumn("version", F.max("v").over(w)).where("kind = 1 AND version IS NOT NULL").select("lookup_id", "user_key", "version")
     records = last_any(rows)
-    return unique_join(hit.withColumn("kv_id", F.struct("user_key", "version")).drop("user_key", "version"), records.withColumn("kv_id", F.struct("user_key", "version")), "kv_id", "lookup_id").drop("kv_id").where(~S.gone(now))
+    both = unique_join(hit.withColumn("kv_id", F.struct("user_key", "version")).drop("user_key", "version"), records.withColumn("kv_id", F.struct("user_key", "version")), "kv_id", "lookup_id")
+    return undo(both.drop("kv_id").where(~S.gone(now)))
 
 
 def last_any(kv: DataFrame) -> DataFrame:

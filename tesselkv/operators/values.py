@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tesselkv import schema as S
 from tesselkv.functions.sketches import histogram_percentile, log_histogram
 from tesselkv.operators.ordered import running_sum
+from tesselkv.runtime import set_aside
 
 POINTER_BYTES = 12
 
@@ -20,6 +21,7 @@ def separated(kv: DataFrame, threshold: int, file_size: int, order: list[str]) -
     a separated value keeps a pointer and the flag, and no value.  A file may run
     over its size by its last value, as the log turns over only between entries.
     """
+    kv, undo = set_aside(kv, [*dict.fromkeys([*S.KV_COLUMNS, *order])])
     n = F.octet_length("value").cast("bigint")
     inline = kv.where(F.col("value").isNull() | (n < threshold))
     big = running_sum(kv.where(n >= threshold).withColumn("n", n), [], order, "n", "line")
@@ -28,7 +30,7 @@ def separated(kv: DataFrame, threshold: int, file_size: int, order: list[str]) -
     log = big.select(F.col("vptr.fid").alias("fid"), F.col("vptr.offset").alias("offset"), "value")
     flagged = F.col("meta").bitwiseOR(F.lit(S.VALUE_POINTER)).cast("smallint")
     moved = big.withColumn("meta", flagged).withColumn("value", F.lit(None).cast("binary")).select(*kv.columns)
-    return inline.unionByName(moved), log
+    return undo(inline.unionByName(moved)), log
 
 
 def resolved(kv: DataFrame, log: DataFrame) -> DataFrame:

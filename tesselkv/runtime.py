@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own_dir: dict[str, str] = {}
 
@@ -61,3 +63,22 @@ def fresh(df: DataFrame, *wanted: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+def set_aside(df: DataFrame, work: Sequence[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``df`` with only the columns ``work``, all others in one struct, and how to undo it.
+
+    So an operator's working columns clash with none of the caller's.  Undoing puts
+    the others back; where the operator has made a column of the same name, its own
+    stays.
+    """
+    others = [c for c in df.columns if c not in work]
+    if not others:
+        return df, lambda done: done
+    held = df.select(*work, F.struct(*[F.col(f"`{c}`") for c in others]).alias("_aside"))
+
+    def undo(done: DataFrame) -> DataFrame:
+        own = [c for c in done.columns if c != "_aside"]
+        return done.select(*own, *[F.col(f"_aside.`{c}`").alias(c) for c in others if c not in own])
+
+    return held, undo

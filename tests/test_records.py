@@ -270,3 +270,17 @@ def test_merge_entries(spark, heavy_rows, monkeypatch):
     assert {bytes(r.user_key): (r.n, r.bytes) for r in got} == {b"hot": (6, sum(range(30, 36))), b"a": (2, 3), b"d": (1, 3)}
     early = merge.merge_entries(kv(spark, rows), 0, [F.max("version").alias("v")], read_ts=19).collect()
     assert {bytes(r.user_key): r.v for r in early} == {b"hot": 19, b"a": 2, b"d": 3, b"e": 1}
+
+
+def test_extra_columns_that_clash(spark):
+    rows = kv(spark, [(b"k", v, b"x" * v, 64, 0) for v in range(1, 6)])
+    extra = ["n", "salt", "line", "gone", "elig", "rank", "top", "part", "lookup_id", "kind", "v", "at"]
+    wide = rows.withColumns({c: F.lit(f"mine {c}") for c in extra})
+    judged = retention.judged(wide, 0, 9, keep=2)
+    assert [r.version for r in retention.kept(judged).orderBy("version").collect()] == [4, 5]
+    apart, log = values.separated(wide, 3, 100, ["user_key", "version"])
+    asked = spark.createDataFrame([(1, bytearray(b"k"), 3)], "lookup_id bigint, user_key binary, read_ts bigint")
+    got = snapshot.multi_get(asked, wide.drop("lookup_id"), 0).collect()
+    assert log.count() == 3 and got[0].version == 3 and got[0].n == "mine n"
+    for df in (judged, apart, snapshot.snapshot(wide, 0), merge.merge_sources([wide, wide])):
+        assert all(r[c] == f"mine {c}" for r in df.collect() for c in extra)
