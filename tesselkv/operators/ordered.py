@@ -67,13 +67,18 @@ def salted_rank(df: DataFrame, group: Sequence[str], order: Sequence[str], out:
 
     The order inside a group is by a hash of ``order`` first: any numbering that is
     fixed by the data will do where the members of a group are interchangeable.
+    Null groups form one group; repeated rows have a place each.
     """
-    salt, base = fresh(df, "salt", "base")
+    salt, base, at = fresh(df, "salt", "base", "at")
     salts = max(1, -(-df.count() // rows_per_salt))
     salted = df.withColumn(salt, F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
     earlier = Window.partitionBy(*group).orderBy(salt).rowsBetween(Window.unboundedPreceding, -1)
     counts = salted.groupBy(*group, salt).agg(F.count(F.lit(1)).alias(base))
     bases = counts.withColumn(base, F.coalesce(F.sum(base).over(earlier), F.lit(0)))
     placed = salted.withColumn(out, F.row_number().over(Window.partitionBy(*group, salt).orderBy(*order)) - 1)
-    joined = placed.join(bases, [*group, salt])
+    bases = bases.select(*[F.col(g).alias(f"{at}{i}") for i, g in enumerate(group)], F.col(salt).alias(f"{at}s"), base)
+    same = F.col(salt) == F.col(f"{at}s")
+    for i, g in enumerate(group):
+        same = same & F.col(g).eqNullSafe(F.col(f"{at}{i}"))
+    joined = placed.join(bases, same)
     return joined.select(*df.columns, (F.col(out) + F.col(base)).alias(out))

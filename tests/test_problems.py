@@ -59,9 +59,9 @@ def test_running_sum_and_rank(spark):
     got = ordered.running_sum(spark.createDataFrame(rows, "g string, before int, n int"), ["g"], ["before"], "n", "upto").collect()
     for x in got:
         assert x.upto == sum(n or 0 for g, i, n in rows if g == x.g and i < x.before)
-    df = spark.createDataFrame([(g, i) for g, i, _ in rows if g], "g string, i int")
+    df = spark.createDataFrame([(g, i) for g, i, _ in rows], "g string, i int")
     got = ordered.salted_rank(df, ["g"], ["i"], rows_per_salt=50).collect()
-    for g in "ab":
+    for g in ("a", "b", None):
         assert sorted(x["rank"] for x in got if x.g == g) == list(range(sum(y[0] == g for y in rows)))
     assert ordered.running_sum(df.limit(0).withColumn("n", F.lit(1)), ["g"], ["i"], "n").collect() == []
 
