@@ -38,6 +38,7 @@ class Oracle:
         self.next_ts, self.detect = max_version + 1, detect_conflicts
         self.reads, self.commits = Watermark(), Watermark(max_version)
         self.committed: dict[bytes, int] = {}
+        self.ingested: dict[int, str] = {}  # bulk commits, whose keys stay in their files
 
     def read_ts(self) -> int:
         """The newest version that is wholly applied; marks it as being read."""
@@ -56,6 +57,10 @@ class Oracle:
             self.committed.update(dict.fromkeys(writes, ts))
         return ts
 
+    def ingested_since(self, read_ts: int) -> list[str]:
+        """The folders of bulk commits newer than ``read_ts``."""
+        return [path for ts, path in self.ingested.items() if ts > read_ts] if self.detect else []
+
     def done_commit(self, ts: int) -> None:
         self.commits.end(ts)
 

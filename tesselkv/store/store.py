@@ -12,7 +12,7 @@ import os
 import time
 import zlib
 from collections import Counter
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Collection, Sequence
 from dataclasses import asdict, replace
 from functools import reduce
 
@@ -161,17 +161,33 @@ class Store:
         rows = df.select(*cols).withColumn("version", F.lit(ts)).withColumn("vptr", F.lit(None).cast(S.VPTR)).select(*S.KV_COLUMNS)
         rows = rows.withColumn("meta", F.col("meta").bitwiseOR(F.lit(S.TXN)).cast("smallint"))
         try:
-            self._log(ts, rows)
+            self._log(ts, rows, bulk=True)
         finally:
             self.oracle.done_commit(ts)
         return ts
 
-    def _log(self, ts: int, rows: DataFrame) -> None:
+    def check_ingested(self, read_ts: int, reads: Collection[bytes]) -> None:
+        """Raises ``Conflict`` if a bulk commit newer than ``read_ts`` wrote a key of ``reads``.
+
+        The keys read go to the bulk commits' files, not the other way.  The files stay
+        in the log after a flush, until ``truncate_log`` finds no transaction that needs them.
+        """
+        paths = self.oracle.ingested_since(read_ts) if reads else []
+        if not paths:
+            return
+        written = self.spark.read.schema(S.KV).parquet(*[f"{self.files.root}/{p}" for p in paths]).select("user_key")
+        asked = self.spark.createDataFrame([(bytearray(k),) for k in reads], "user_key binary")
+        if written.join(F.broadcast(asked), "user_key", "left_semi").head(1):
+            raise E.Conflict("a key that was read has been ingested since")
+
+    def _log(self, ts: int, rows: DataFrame, bulk: bool = False) -> None:
         self._writable()
         path, key_id = f"log/commit-{ts:020}", self.keys.latest(self.now())
         self._sealed(rows, key_id).write.mode("overwrite").option("compression", "zstd").parquet(f"{self.files.root}/{path}")
         commit = {"path": path, "ts": ts, "key": key_id, "size": self.files.size(path)}
         self._swap(log=[*self.state["log"], commit], max_version=max(self.state["max_version"], ts))
+        if bulk and self.oracle.detect:
+            self.oracle.ingested[ts] = path
         held = self.state["log"]
         if len(held) >= self.config.log_commits or sum(c["size"] for c in held) >= self.config.levels.memtable_size:
             self.flush()
@@ -393,8 +409,14 @@ class Store:
         return subscribe(stream, subscriptions, callback, checkpoint, once)
 
     def truncate_log(self) -> None:
-        """Removes commits that are in tables; subscribers should have read them."""
-        kept = {c["path"] for c in self.state["log"]}
+        """Removes commits that are in tables; subscribers should have read them.
+
+        Ingests that a transaction may still conflict with stay: those newer than the
+        oldest open one, or all since the store was opened if callers choose what they read.
+        """
+        low = -1 if self.config.managed_txns else self.oracle.discard_ts()
+        self.oracle.ingested = {ts: p for ts, p in self.oracle.ingested.items() if ts > low}
+        kept = {c["path"] for c in self.state["log"]} | {*self.oracle.ingested.values()}
         for n in self.files.names("log"):
             if f"log/{n}" not in kept:
                 self.files.delete(f"log/{n}")

@@ -114,6 +114,41 @@ def test_anomalies(store):
         a.commit()
 
 
+@pytest.mark.parametrize("flushed", [False, True])
+def test_ingest_conflicts_with_open_reads(store, flushed):
+    store.update(lambda t: (t.set(b"x", b"1"), t.set(b"y", b"1")))
+    hit, new, other, blind = (store.txn() for _ in range(4))
+    assert (get(hit, b"x"), get(new, b"new"), get(other, b"y")) == (b"1", None, b"1")
+    for t in (hit, new, other, blind):
+        t.set(b"x" if t is blind else b"q", b"2")
+    store.ingest(store.spark.createDataFrame([(bytearray(k), bytearray(b"9")) for k in (b"x", b"new")], "user_key binary, value binary"))
+    if flushed:
+        store.flush()
+        store.truncate_log()
+    for t in (hit, new):
+        with pytest.raises(E.Conflict):
+            t.commit()
+    other.commit()
+    blind.commit()
+    store.update(lambda t: t.set(b"x", get(t, b"x") + b"3"))  # reads what was ingested and after
+    assert store.get(b"x").value == b"23"
+    store.flush()
+    store.truncate_log()
+    assert store.oracle.ingested == {} and store.files.names("log") == []
+
+
+def test_ingest_conflicts_with_managed_reads(spark, tmp_path):
+    with Store(spark, f"file://{tmp_path}/s", Config(managed_txns=True)) as s:
+        s.ingest(spark.createDataFrame([(bytearray(b"x"), bytearray(b"9"))], "user_key binary, value binary"))
+        s.flush()
+        s.truncate_log()
+        t = s.txn_at(0)
+        assert get(t, b"x") is None
+        t.set(b"x", b"1")
+        with pytest.raises(E.Conflict):
+            t.commit(at=40)
+
+
 def test_against_a_model(spark, tmp_path):
     r = random.Random(11)
     model: dict[bytes, list] = {}
