@@ -31,7 +31,7 @@ from tesselkv.store.oracle import Oracle
 from tesselkv.store.txn import Entry, Item, Txn
 from tesselkv.streaming.subscriptions import Subscription, subscribe
 
-_EMPTY = {"version": 0, "next_id": 1, "tables": [], "log": [], "vlog": [], "max_version": 0, "banned": [], "discard": {}}
+_EMPTY = {"version": 0, "next_id": 1, "tables": [], "log": [], "vlog": [], "max_version": 0, "banned": [], "discard": {}, "next_fid": 0}
 
 
 class Store:
@@ -290,20 +290,40 @@ class Store:
             return []
         done = self.state["log"]
         kv = merge_sources([reduce(DataFrame.unionByName, [self._read(c["path"], c["key"]) for c in done])])
-        vlog = self.state["vlog"]
+        vlog, first = self.state["vlog"], self._next_fid()
+        after = first
         threshold = self._threshold(kv)
         if kv.where(F.octet_length("value") >= threshold).head(1):
             kv, log = values.separated(kv, threshold, self.config.vlog_file_size, ["user_key", "version"])
             base = 1 + max((int(v.split("/")[1].split("-")[1].split("#")[0]) for v in vlog), default=-1)
-            kv = kv.withColumn("vptr", F.when(F.col("vptr").isNotNull(), F.col("vptr").withField("fid", F.col("vptr.fid") + base * 10_000)))
+            kv = kv.withColumn("vptr", F.when(F.col("vptr").isNotNull(), F.col("vptr").withField("fid", F.col("vptr.fid") + first)))
             name, key_id = f"vlog/values-{base:06}", self.keys.latest(self.now())
-            self._sealed(log.withColumn("fid", F.col("fid") + base * 10_000), key_id).write.mode("overwrite").parquet(f"{self.files.root}/{name}")
+            self._sealed(log.withColumn("fid", F.col("fid") + first), key_id).write.mode("overwrite").parquet(f"{self.files.root}/{name}")
             vlog = [*vlog, f"{name}#{key_id}"]
+            after = 1 + self._greatest_fid([vlog[-1]])
         made = self._write_tables(kv, 0, 1)
-        self._swap(tables=[*self.state["tables"], *made], log=[c for c in self.state["log"] if c not in done], vlog=vlog, next_id=self.state["next_id"] + len(made) + 1)
+        self._swap(tables=[*self.state["tables"], *made], log=[c for c in self.state["log"] if c not in done], vlog=vlog, next_id=self.state["next_id"] + len(made) + 1, next_fid=after)
         self.metrics["bytes_level0"] += sum(t["size"] for t in made)
         return made
 
+    def _greatest_fid(self, vlog: Sequence[str]) -> int:
+        paths = [f"{self.files.root}/{v.split('#')[0]}" for v in vlog]
+        return self.spark.read.schema("fid int").parquet(*paths).agg(F.max("fid").alias("fid")).first().fid
+
+    def _next_fid(self) -> int:
+        """The first value log file id that no flush has used.
+
+        Manifests from before it was kept there gave each flush 10,000 ids, or more if it needed more.
+        """
+        if "next_fid" in self.state:
+            return self.state["next_fid"]
+        vlog = self.state["vlog"]
+        if not vlog:
+            return 0
+        base = 1 + max(int(v.split("/")[1].split("-")[1].split("#")[0]) for v in vlog)
+        greatest = self._greatest_fid(vlog)
+        return max(base * 10_000, -1 if greatest is None else greatest + 1)
+
     def _threshold(self, kv: DataFrame) -> int:
         if not self.config.value_percentile:
             return self.config.value_threshold

@@ -1,8 +1,10 @@
 """The store end to end, isolation anomalies, subscriptions."""
 
 import random
+from dataclasses import replace
 
 import pytest
+from pyspark.sql import functions as F
 
 from tesselkv import errors as E
 from tesselkv.plans.levels import LevelConfig
@@ -198,6 +200,25 @@ def test_values_and_prefixes(store):
     assert store.sizes()["tables"] > 0 and store.table_info().count() == 1
 
 
+@pytest.mark.parametrize("old", [False, True])
+def test_many_value_log_files_of_a_flush(spark, tmp_path, old):
+    def rows(letter, n):
+        return spark.range(n).select(F.format_string(letter + "%05d", "id").cast("binary").alias("user_key"), F.format_string(letter + "%023d", "id").cast("binary").alias("value"))
+
+    with Store(spark, f"file://{tmp_path}/s", Config(value_threshold=20), now=lambda: 1000) as s:
+        s.config = replace(s.config, vlog_file_size=24)  # a file a value; Config itself would ask for a MiB
+        s.ingest(rows("a", 10_003))
+        s.flush()
+        if old:  # a manifest that doesn't have the next id
+            s.state.pop("next_fid", None)
+        s.ingest(rows("b", 5))
+        s.flush()
+        got = {bytes(r.user_key): bytes(r.value) for r in s.scan().collect()}
+        assert s.scan().count() == len(got) == 10_008
+        assert got[b"a10001"] == b"a%023d" % 10_001 and got[b"b00001"] == b"b%023d" % 1
+        assert s.reclaim_values() == 10_008
+
+
 def test_lock_read_only_and_namespaces(spark, tmp_path):
     root = f"file://{tmp_path}/s"
     s = Store(spark, root, Config(namespace_offset=0))
