@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import time
 import zlib
 from collections import Counter
@@ -16,6 +17,7 @@ from collections.abc import Callable, Collection, Sequence
 from dataclasses import asdict, replace
 from functools import reduce
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +35,8 @@ from tesselkv.streaming.subscriptions import Subscription, subscribe
 
 _EMPTY = {"version": 0, "next_id": 1, "tables": [], "log": [], "vlog": [], "max_version": 0, "banned": [], "discard": {}, "next_fid": 0}
 
+_REFUSED = "ingest refused: "
+
 
 class Store:
     """Opens or makes a store at ``root``."""
@@ -152,7 +156,10 @@ class Store:
         self._log(ts, self.spark.createDataFrame(rows, S.KV))
 
     def ingest(self, df: DataFrame) -> int:
-        """A DataFrame of keys and values (and what else of the record it has) as one commit."""
+        """A DataFrame of keys and values (and what else of the record it has) as one commit.
+
+        A row that a transaction could not write refuses the commit with the same error.
+        """
         self._writable()
         ts = self.oracle.commit_ts(self.oracle.next_ts - 1, (), ())
         default = {"expires_at": F.lit(0), "user_meta": F.lit(0), "meta": F.lit(0), "value": F.lit(None)}
@@ -160,8 +167,18 @@ class Store:
         cols = [(F.col(c) if c in df.columns else default[c]).cast(kinds[c]).alias(c) for c in ("user_key", "value", "expires_at", "user_meta", "meta")]
         rows = df.select(*cols).withColumn("version", F.lit(ts)).withColumn("vptr", F.lit(None).cast(S.VPTR)).select(*S.KV_COLUMNS)
         rows = rows.withColumn("meta", F.col("meta").bitwiseOR(F.lit(S.TXN)).cast("smallint"))
+        # Judged while it is written, so that what is judged is what is stored: a refused job commits no file.
+        error = S.write_error(self.config.vlog_file_size, self.state["banned"], self.config.namespace_offset)
+        refuse = F.raise_error(F.concat(F.lit(_REFUSED), error, F.lit("."))).cast("binary")
+        rows = rows.withColumn("user_key", F.when(error.isNull(), F.col("user_key")).otherwise(refuse))
         try:
             self._log(ts, rows, bulk=True)
+        except PySparkException as e:
+            found = re.search(rf"{_REFUSED}(\w+)\.", str(e))
+            if not found:
+                raise
+            self.files.delete(f"log/commit-{ts:020}")
+            raise getattr(E, found[1])("a row of the ingest can't be written") from e
         finally:
             self.oracle.done_commit(ts)
         return ts

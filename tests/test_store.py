@@ -60,6 +60,20 @@ def test_write_errors(store):
         Config(encryption_key=b"x").checked()
 
 
+def test_ingest_refuses_what_a_transaction_does(spark, tmp_path):
+    banned, allowed = (7).to_bytes(8, "big") + b"x", (8).to_bytes(8, "big") + b"x"
+    with Store(spark, f"file://{tmp_path}/s", Config(namespace_offset=0), now=lambda: 1000) as s:
+        s.ban_namespace(7)
+        s.config = replace(s.config, vlog_file_size=24)  # Config itself would ask for a MiB
+        wrong = [(None, b"", E.EmptyKey), (b"", b"", E.EmptyKey), (b"!sys!x", b"", E.InvalidKey), (b"k" * 65_001, b"", E.InvalidKey), (b"k", b"v" * 25, E.ValueLogSize), (banned, b"", E.BannedKey)]
+        for key, value, error in wrong:
+            with pytest.raises(error):
+                s.ingest(spark.createDataFrame([(bytearray(b"a"), bytearray(b"1")), (key if key is None else bytearray(key), bytearray(value))], "user_key binary, value binary"))
+        assert s.files.names("log") == [] == s.state["log"] and s.scan().count() == 0
+        s.ingest(spark.createDataFrame([(bytearray(k), bytearray(b"v" * 24)) for k in (b"k" * 65_000, allowed, b"!sys")], "user_key binary, value binary"))
+        assert s.scan().count() == 3
+
+
 def test_too_big(spark, tmp_path):
     with Store(spark, f"file://{tmp_path}/s", Config(levels=LevelConfig(memtable_size=10_000), value_threshold=100)) as s:
         t = s.txn()
