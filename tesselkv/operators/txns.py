@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,8 +47,8 @@ def conflicts_resolved(reads: DataFrame, writes: DataFrame, rounds: int = 64) ->
     to the later reader it refuses): a transaction commits once every transaction that
     could refuse it is refused, and is refused once one of them has committed.
     Chains end in as many rounds as they are long; a round that settles nothing
-    cannot occur, as the earliest open transaction always settles.  More than
-    ``rounds`` raises.
+    cannot occur, as the earliest open transaction always settles.  What ``rounds``
+    rounds leave open, long chains, is settled in order of commit in one pass.
     """
     from tesselkv.runtime import written
 
@@ -70,7 +71,44 @@ def conflicts_resolved(reads: DataFrame, writes: DataFrame, rounds: int = 64) ->
         gone = now.select("mine")
         rest = edges.join(gone, "mine", "left_anti").join(gone.select(F.col("mine").alias("theirs")), "theirs", "left_anti")
         edges = written(rest.select("txn_id", "mine", "theirs"), "edges")
-    raise RuntimeError(f"conflicts need more than {rounds} rounds")
+    refused = refused.unionByName(written(_in_order(edges), "refused"))
+    return refused.select("txn_id", F.col("mine").alias("commit_ts"))
+
+
+def _in_order(edges: DataFrame) -> DataFrame:
+    """``resolve`` over the edges (txn_id, mine, theirs) of a conflict graph: the refused.
+
+    One task reads them sorted, as each outcome needs the ones before.  It holds the
+    refused transactions that a later edge still asks for, not all.
+    """
+    last = edges.groupBy("theirs").agg(F.max("mine").alias("last"))
+    asked = last.select(F.col("theirs").alias("mine"), F.lit(True).alias("asked"))
+    rows = edges.join(last, "theirs").join(asked, "mine", "left")
+    rows = rows.select(*[F.col(c).cast("bigint").alias(c) for c in ("txn_id", "mine", "theirs", "last")], F.coalesce("asked", F.lit(False)).alias("asked"))
+    return rows.repartition(1).sortWithinPartitions("mine", "txn_id").mapInArrow(_settle, "txn_id bigint, mine bigint")
+
+
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges by ``mine`` and ``txn_id``; an edge refuses its reader unless ``theirs`` was refused itself."""
+    gone: set[int] = set()
+    ended: list[int] = []
+    at = hit = None
+    for batch in batches:
+        out = []
+        for txn, mine, theirs, last, asked in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if mine != at:
+                gone.difference_update(ended)
+                ended.clear()
+                at, hit = mine, None
+            if theirs in gone:
+                if mine == last:
+                    ended.append(theirs)
+            elif hit != (txn,):  # the first edge that refuses it
+                hit = (txn,)
+                out.append((txn, mine))
+                if asked:
+                    gone.add(mine)
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["txn_id", "mine"])
 
 
 def pruned(committed: DataFrame, min_read_ts: int) -> DataFrame:

@@ -228,6 +228,26 @@ def test_conflicts_in_order_of_commit(spark):
         assert all(isinstance(x, bool) for x in outcome.values())
 
 
+def test_long_chains_of_conflicts(spark):
+    # One hot key, read and written by all, and keys by chance: more rounds than allowed.
+    r = random.Random(8)
+    for hot, n, back in ((True, 60, 1), (True, 300, 7), (False, 300, 40)):
+        reads = {t: {0 if hot else r.randrange(3), r.randrange(1, 9)} for t in range(1, n)}
+        writes = {t: {0 if hot else r.randrange(3), r.randrange(1, 9)} for t in range(1, n)}
+        at = {t: max(0, t - 1 - r.randrange(back, back + 3)) for t in range(1, n)}
+        exact, last = set(), {}
+        for t in range(1, n):
+            if any(last.get(k, -1) > at[t] for k in reads[t]):
+                exact.add(t)
+            else:
+                last.update(dict.fromkeys(writes[t], t))
+        rd = spark.createDataFrame([(-t, k, at[t], t) for t in reads for k in reads[t]], "txn_id bigint, key bigint, read_ts bigint, commit_ts bigint")
+        wd = spark.createDataFrame([(t, k) for t in writes for k in writes[t]], "commit_ts bigint, key bigint")
+        for rounds in (0, 2):
+            got = txns.conflicts_resolved(rd, wd, rounds).collect()
+            assert sorted((x.txn_id, x.commit_ts) for x in got) == sorted((-t, t) for t in exact)
+
+
 def test_overlap_counts(spark):
     r = random.Random(6)
     rows = []
