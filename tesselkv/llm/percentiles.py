@@ -8,7 +8,7 @@ partitions, and only these are read again.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from tesselkv.operators.ordered import run_offsets, sorted_runs
 
+_DIGITS = r"^\s*\+?0*([0-9]+)\s*$"
+
 
 def partial_counts(df: DataFrame, group: Sequence[str], number: str) -> DataFrame:
     """Columns ``group``, ``number``, n.  Null numbers do not count."""
@@ -28,14 +30,15 @@ def combined(parts: Sequence[DataFrame], group: Sequence[str], number: str) -> D
     return together.groupBy(*group, number).agg(F.sum("n").alias("n"))
 
 
-def percentiles(counts: DataFrame, group: Sequence[str], number: str, pcts: Sequence[int]) -> DataFrame:
+def percentiles(counts: DataFrame, group: Sequence[str], number: str, pcts: Sequence[int], as_double: Callable[[Column], Column] = lambda c: c.cast("double")) -> DataFrame:
     """Per group and percentage: ``n``, ``nearest`` and ``between``, both exact.
 
     ``nearest`` is the smallest number that at least ``pct`` % of the group do not
     exceed.  ``between`` interpolates linearly between the two order statistics
     around place (n-1)*pct/100.  ``counts`` is what ``partial_counts`` gives.  Ties
     are one row there, so a number that fills a third of a group is no burden.
-    A group without numbers has no row; a null group is a group.
+    A group without numbers has no row; a null group is a group.  ``number`` may be of
+    any type that sorts, if ``as_double`` is given.
     """
     runs = sorted_runs(counts, [*group, number])
     parts = run_offsets(runs, group, F.col("n"))
@@ -65,21 +68,44 @@ def percentiles(counts: DataFrame, group: Sequence[str], number: str, pcts: Sequ
     hit = few.join(spots, here(few, spots) & (F.col("local") > F.col("upto") - F.col("n")) & (F.col("local") <= F.col("upto")))
     pick = lambda what: F.max(F.when(F.col("what") == what, F.col(number)))
     found = hit.groupBy(*group, "pct").agg(F.first("total").alias("n"), F.first("share").alias("share"), pick("nearest").alias("nearest"), pick("low").alias("low"), pick("high").alias("high"))
-    low, high = F.col("low").cast("double"), F.col("high").cast("double")
-    return found.select(*group, "pct", "n", "nearest", (low + (high - low) * F.col("share")).alias("between"))
+    low, high = as_double(F.col("low")), as_double(F.col("high"))
+    between = F.when(low == high, low).otherwise(low + (high - low) * F.col("share"))  # equal ones may be infinite
+    return found.select(*group, "pct", "n", "nearest", between.alias("between"))
 
 
 def whole_number(text: Column) -> Column:
     """A decimal text as a number: blanks around, a plus sign, leading zeros allowed.
 
     Anything else is null.  Numbers of more than 38 digits count as the greatest
-    number of 38 digits, which leaves every smaller percentile as it is.
+    number of 38 digits, which leaves every smaller percentile as it is; ``wide``
+    keeps them.
     """
-    digits = F.regexp_extract(text, r"^\s*\+?0*([0-9]+)\s*$", 1)
+    digits = F.regexp_extract(text, _DIGITS, 1)
     most = F.lit("9" * 38)
     return F.when(F.length(digits) > 0, F.when(F.length(digits) > 38, most).otherwise(digits)).cast("decimal(38,0)")
 
 
+def wide(number: Column, text: Column | None = None) -> Column:
+    """A whole number of any length that sorts as it does: (number, length, digits).
+
+    ``text`` is what ``number`` was read from by ``whole_number``; length and digits are
+    null, and so sort first, unless it has more than 38 of them.
+    """
+    digits = F.lit(None).cast("string")
+    if text is not None:
+        digits = F.regexp_extract(text, _DIGITS, 1)
+        digits = F.when(F.length(digits) > 38, digits)
+    return F.when(number.isNotNull(), F.struct(number.alias("number"), F.length(digits).alias("length"), digits.alias("digits")))
+
+
+def wide_text(number: Column) -> Column:
+    return F.coalesce(number["digits"], number["number"].cast("string"))
+
+
+def wide_double(number: Column) -> Column:
+    return F.coalesce(number["digits"].cast("double"), number["number"].cast("double"))
+
+
 def big_endian(value: Column) -> Column:
     """The unsigned number in 8 bytes; null for any other length."""
     return F.when(F.octet_length(value) == 8, F.conv(F.hex(value), 16, 10).cast("decimal(38,0)"))

@@ -24,29 +24,33 @@ def p2_error_rate(spark: SparkSession, d: str) -> DataFrame:
     return seen.error_rate(history, incoming, "user_key", "incoming_id")
 
 
-def _p4_percentiles(spark: SparkSession, d: str) -> DataFrame:
+def _p4_percentiles(spark: SparkSession, d: str, exact: bool = True) -> DataFrame:
+    """``exact`` keeps numbers of more than 38 digits as they are, as ``wide`` numbers."""
     # Copies of an entry or a record are equal in what is taken here; where they are
     # not, the smallest number and stream count.
     log = table(spark, d, "vlog_entry").select("fid", "entry_pos", "value_len").where("value_len >= 0")
     log = log.groupBy("fid", "entry_pos").agg(F.min("value_len").alias("x"))
     log = log.select(F.lit("vlog_entry").alias("src"), F.col("fid").cast("bigint").alias("grp"), F.col("x").cast("decimal(38,0)").alias("x")).where("grp IS NOT NULL")
+    log = log.withColumn("x", pc.wide(F.col("x"))) if exact else log
     kv = table(spark, d, "kv_record").select("user_key", "version", "stream_id", "user_meta", "value")
-    number = F.when(F.col("user_meta") == 1, pc.big_endian(F.col("value"))).when(F.col("user_meta") == 2, pc.whole_number(F.col("value").cast("string")))
+    text = F.when(F.col("user_meta") == 2, F.col("value").cast("string"))
+    number = F.when(F.col("user_meta") == 1, pc.big_endian(F.col("value"))).otherwise(pc.whole_number(text))
+    number = pc.wide(number, text) if exact else number
     kv = kv.where(F.col("user_meta").isin(1, 2) & F.col("stream_id").isNotNull()).withColumn("x", number).where("x IS NOT NULL")
     kv = kv.groupBy("user_key", "version").agg(F.min("stream_id").alias("stream_id"), F.min("x").alias("x"))
     kv = kv.select(F.lit("kv_record").alias("src"), F.col("stream_id").cast("bigint").alias("grp"), "x")
     by = ["src", "grp"]
     counts = pc.combined([pc.partial_counts(log, by, "x"), pc.partial_counts(kv, by, "x")], by, "x")
-    return pc.percentiles(counts, by, "x", PCTS)
+    return pc.percentiles(counts, by, "x", PCTS, pc.wide_double) if exact else pc.percentiles(counts, by, "x", PCTS)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return _p4_percentiles(spark, d).where("nearest >= 4096").select("src", "grp", "pct")
+    return _p4_percentiles(spark, d, exact=False).where("nearest >= 4096").select("src", "grp", "pct")
 
 
 def p4_percentiles(spark: SparkSession, d: str) -> DataFrame:
     p = _p4_percentiles(spark, d)
-    return p.select("src", "grp", "pct", "n", F.col("nearest").cast("string").alias("nearest"), F.round("between", 3).alias("between"))
+    return p.select("src", "grp", "pct", "n", pc.wide_text(F.col("nearest")).alias("nearest"), F.round("between", 3).alias("between"))
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:

@@ -106,6 +106,21 @@ def test_numbers_in_values(spark):
     assert {bytes(r.v): None if r.n is None else int(r.n) for r in got} == {k: v for k, v in raw.items()}
 
 
+def test_percentiles_of_very_long_numbers(spark, tmp_path):
+    numbers = [5, 10**38 - 1, 10**38, 2 * 10**38, 10**40 + 1, 10**40 + 2, 10**45]
+    kv = [(bytearray(b"k%d" % i), i, 1, 2, bytearray(b" +00%d " % x)) for i, x in enumerate(numbers)] + [(bytearray(b"b"), 1, 2, 1, bytearray(b"\0" * 7 + b"\7")), (bytearray(b"h"), 1, 3, 2, bytearray(b"7" * 400))]
+    spark.createDataFrame(kv, "user_key binary, version bigint, stream_id int, user_meta int, value binary").write.parquet(str(tmp_path / "kv_record.parquet"))
+    spark.createDataFrame([(1, 0, 10)], "fid int, entry_pos bigint, value_len int").write.parquet(str(tmp_path / "vlog_entry.parquet"))
+    got = {(r.src, r.grp, r.pct): r for r in QUERIES["p4_percentiles"](spark, str(tmp_path)).collect()}
+    for pct in (50, 90, 99):
+        r = got["kv_record", 1, pct]
+        assert r.n == 7 and r.nearest == str(numbers[-(-7 * pct // 100) - 1])
+        assert math.isclose(r.between, np.percentile(np.array(numbers, float), pct), rel_tol=1e-12)
+        assert (got["kv_record", 2, pct].nearest, got["vlog_entry", 1, pct].nearest) == ("7", "10")
+        assert got["kv_record", 3, pct].nearest == "7" * 400 and got["kv_record", 3, pct].between == math.inf
+    assert {(r.src, r.grp) for r in QUERIES["p4_found"](spark, str(tmp_path)).collect()} == {("kv_record", 1), ("kv_record", 3)}
+
+
 @pytest.fixture(scope="module")
 def replay():
     return tokenize.MergeReplay.load(VOCABULARY)
