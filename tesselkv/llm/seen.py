@@ -165,11 +165,13 @@ def seen_before(history: DataFrame, incoming: DataFrame, key: str, order: str, e
 def error_rate(history: DataFrame, incoming: DataFrame, key: str, order: str, error: float = ERROR, first_layer: int = FIRST_LAYER) -> DataFrame:
     """One row: keys asked, keys new to the history, wrong yes answers, rate and bound.
 
-    The rate is wrong answers over keys new to the history (0 if there are none).
+    The rate is wrong answers over keys new to the history (0 if there are none);
+    ``within`` says whether this rate, as observed, keeps to the compounded bound.
     """
     j = judged_keys(history, incoming, key, order, error, first_layer)
     wrong = F.sum((F.col("maybe") & ~F.col("seen")).cast("bigint"))
     new = F.sum((~F.col("seen")).cast("bigint"))
     row = j.agg(F.count(F.lit(1)).alias("asked"), F.coalesce(new, F.lit(0)).alias("new_keys"), F.coalesce(wrong, F.lit(0)).alias("wrong"), F.max("bound").alias("bound"))
     rate = F.when(F.col("new_keys") > 0, F.col("wrong") / F.col("new_keys")).otherwise(F.lit(0.0))
-    return row.select("asked", "new_keys", "wrong", rate.alias("rate"), F.coalesce("bound", F.lit(error)).alias("bound"), (rate <= 2 * F.lit(error)).alias("within"))
+    bound = F.coalesce("bound", F.lit(error))
+    return row.select("asked", "new_keys", "wrong", rate.alias("rate"), bound.alias("bound"), (rate <= bound).alias("within"))

@@ -74,6 +74,14 @@ def test_wrong_answers_are_measured(spark):
     assert loose == 0  # wrong answers do not pass the exact check
 
 
+@pytest.mark.parametrize("wrong, within", [(0, True), (10, True), (11, False), (15, False), (20, False)])
+def test_error_rate_is_held_against_the_bound(spark, monkeypatch, wrong, within):
+    judged = spark.range(1000).select((F.col("id") < wrong).alias("maybe"), F.lit(False).alias("seen"), F.lit(0.01).alias("bound"))
+    monkeypatch.setattr(seen, "judged_keys", lambda *a: judged)
+    row = seen.error_rate(None, None, "user_key", "incoming_id", 0.01).first()
+    assert (row.wrong, row.rate, row.within) == (wrong, wrong / 1000, within)
+
+
 @pytest.mark.parametrize("n", [1, 2, 7, 400])
 def test_percentiles(spark, n):
     r = random.Random(n)
