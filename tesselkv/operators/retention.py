@@ -16,44 +16,63 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesselkv import schema as S
-from tesselkv.operators.skew import HEAVY_ROWS, sliced
-from tesselkv.runtime import set_aside
-
-
-def judged(kv: DataFrame, now: int, discard_ts: int, keep: int = 1, has_overlap: bool = False, drop_prefixes: Sequence[bytes] = (), heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+from tesselkv.operators.skew import sliced
+from tesselkv.runtime import set_aside, settled
+
+
+def judged(
+    kv: DataFrame,
+    now: int,
+    discard_ts: int,
+    keep: int = 1,
+    has_overlap: bool = False,
+    drop_prefixes: Sequence[bytes] = (),
+    heavy_rows: int | None = None,
+) -> DataFrame:
     """``kv`` with ``dropped`` and ``stale`` (kept, but only for what lies below it).
 
     One row per (key, version) is expected.  A heavy key is cut into slices by
     version; what older slices need of newer ones (how many versions counted, whether
     the key was stopped, whether its newest version discards) is summed per slice and
-    carried, so no task sees a whole heavy key.
+    carried by a broadcast of a row per slice, so no task sees a whole heavy key.
+    Records with a null key or version are left out.  Runs jobs; what is more than a
+    scan is written once, as it is read three times (twice of narrow columns).
     """
+    kv = settled(kv.where(F.col("user_key").isNotNull() & F.col("version").isNotNull()), "kv")
     kv, undo = set_aside(kv, S.KV_COLUMNS)
     under = reduce(lambda a, b: a | b, [S.in_prefix(p) for p in drop_prefixes], F.lit(False))
     counts = (F.col("version") <= discard_ts) & ~S.has(S.MERGE)
-    rows = kv.withColumn("elig", counts.cast("int")).withColumn("gone", S.gone(now)).withColumn("mark", S.has(S.DISCARD_EARLIER)).withColumn("under", under)
-    alive = rows.where(~F.col("under"))
-    newer = Window.partitionBy("user_key", "salt").orderBy(F.col("version").desc())
-    alive, any_heavy = sliced(alive, "user_key", "version", "salt", heavy_rows)
+    rows = kv.withColumn("elig", counts.cast("int")).withColumn("gone", S.gone(now))
+    rows = rows.withColumn("mark", S.has(S.DISCARD_EARLIER)).withColumn("under", under)
+    alive, any_heavy = sliced(rows.where(~F.col("under")), "user_key", "version", "slice", "part", heavy_rows=heavy_rows)
+    newer = Window.partitionBy("user_key", "slice").orderBy(F.col("version").desc())
     if any_heavy:
         hard = (F.col("elig") == 1) & (F.col("gone") | F.col("mark"))
-        sums = alive.where("salt > 0").groupBy("user_key", "salt").agg(F.sum("elig").alias("n"), F.max(hard).alias("hard"), F.max_by("mark", "version").alias("top"))
-        before = Window.partitionBy("user_key").orderBy(F.col("salt").desc())  # newer slices first
+        sums = alive.where("slice > 0").groupBy("user_key", "slice").agg(
+            F.sum("elig").alias("n"), F.max(hard).alias("hard"), F.max_by("mark", "version").alias("top")
+        )
+        before = Window.partitionBy("user_key").orderBy(F.col("slice").desc())  # newer slices first
         earlier = before.rowsBetween(Window.unboundedPreceding, -1)
-        carried = sums.select("user_key", "salt", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n0"), F.coalesce(F.max("hard").over(earlier), F.lit(False)).alias("hard0"), F.first("top").over(before).alias("top0"))
-        alive = alive.join(carried, ["user_key", "salt"], "left")
+        n, hard, top = F.sum("n").over(earlier), F.max("hard").over(earlier), F.first("top").over(before)
+        carried = sums.select("user_key", "slice", n.alias("n0"), hard.alias("hard0"), top.alias("top0"))
+        alive = alive.join(F.broadcast(carried), ["user_key", "slice"], "left")
         n0, hard0, top0 = F.coalesce("n0", F.lit(0)), F.coalesce("hard0", F.lit(False)), F.col("top0")
     else:
         n0, hard0, top0 = F.lit(0), F.lit(False), F.lit(None).cast("boolean")
     n = n0 + F.sum("elig").over(newer.rowsBetween(Window.unboundedPreceding, 0))
-    with_n = alive.withColumn("n", n).withColumn("top", F.coalesce(top0, F.first("mark").over(newer))).withColumn("was", hard0 | (n0 >= keep))
+    with_n = alive.withColumn("n", n).withColumn("top", F.coalesce(top0, F.first("mark").over(newer)))
+    with_n = with_n.withColumn("was", hard0 | (n0 >= keep))
     stop = (F.col("elig") == 1) & (F.col("gone") | F.col("mark") | (F.col("n") == keep))
     stopped = with_n.withColumn("stop", stop)
-    after = F.coalesce(F.max("stop").over(newer.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False)) | F.col("was")
+    last = F.max("stop").over(newer.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.coalesce(last, F.lit(False)) | F.col("was")
     dropped = after | (F.col("stop") & F.col("gone") & F.lit(not has_overlap))
     told = stopped.withColumn("dropped", dropped).withColumn("stale", ~F.col("dropped") & (F.col("top") | F.col("gone")))
     whole = told.select(*kv.columns, "dropped", "stale")
-    return undo(whole.unionByName(rows.where("under").select(*kv.columns, F.lit(True).alias("dropped"), F.lit(False).alias("stale"))) if drop_prefixes else whole)
+    if drop_prefixes:
+        below = rows.where("under").select(*kv.columns, F.lit(True).alias("dropped"), F.lit(False).alias("stale"))
+        whole = whole.unionByName(below)
+    return undo(whole)
 
 
 def kept(judged_kv: DataFrame) -> DataFrame:

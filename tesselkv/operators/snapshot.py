@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tesselkv import schema as S
 from tesselkv.operators.ordered import sorted_runs
 from tesselkv.operators.skew import sliced, unique_join
-from tesselkv.runtime import fresh, set_aside
+from tesselkv.runtime import fresh, set_aside, settled, written
 
 
 def last_written(records: DataFrame, arrival: str) -> DataFrame:
@@ -89,32 +89,75 @@ def neighbours(keys: DataFrame) -> DataFrame:
     return near.join(ends, "part").select("user_key", F.coalesce("before", "prev").alias("before"), F.coalesce("after", "next").alias("after"))
 
 
-def multi_get(lookups: DataFrame, kv: DataFrame, now: int, heavy_rows: int = 200_000) -> DataFrame:
+#: Asked keys whose hashes may be broadcast to filter the records: 8 MB of them.
+BROADCAST_KEYS = 1_000_000
+
+
+def with_keys(kv: DataFrame, keys: DataFrame, key: str = "user_key") -> DataFrame:
+    """Rows of ``kv`` whose ``key`` is one of ``keys`` (one column of that name, distinct).
+
+    Up to ``BROADCAST_KEYS`` keys their hashes are broadcast, and the rows are thinned
+    where they are read; of hash collisions a few more rows may stay, so compare keys
+    afterwards.  More keys meet the rows in a join by key, heavy keys spread.
+    """
+    n = keys.count()
+    if n > BROADCAST_KEYS:
+        return unique_join(kv, keys, key, "version")
+    (h,) = fresh(kv, "h")
+    hashes = keys.select(F.xxhash64(key).alias(h)).distinct()
+    return kv.join(F.broadcast(hashes), F.xxhash64(kv[key]) == F.col(h), "left_semi")
+
+
+def multi_get(
+    lookups: DataFrame, kv: DataFrame, now: int, heavy_rows: int | None = None, arrival: str | None = None
+) -> DataFrame:
     """As-of reads of many keys: per lookup (lookup_id, user_key, read_ts) its visible record.
 
-    A lookup without a visible record has no row.  The versions of the looked-up keys
-    and the lookups are ordered together, each lookup taking the last version
-    before it, so no lookup is paired with all versions of its key; a heavy key is
-    sliced by version, the last version of earlier slices entering each slice.
+    A lookup without a visible record has no row.  Only records of asked keys are
+    looked at (``with_keys``).  Their versions and the lookups are ordered together,
+    each lookup taking the last version up to it, so none is paired with all versions
+    of its key.  A heavy key is sliced by version, the last version of earlier slices
+    being carried into each; many lookups of one key at one ``read_ts`` (the greatest,
+    for the latest) are a slice of several parts, which carries its own version too.
+    Of repeated rows of a version the last by ``arrival`` is taken, without it the
+    greatest by its columns.  Runs jobs.
     """
-    kv, undo = set_aside(kv, S.KV_COLUMNS)
-    rows = kv.where(F.col("user_key").isNotNull() & F.col("version").isNotNull() & ~F.coalesce(S.blank(), F.lit(False)))
-    versions = rows.select("user_key", F.col("version").alias("at"), F.col("version").alias("v"), F.lit(None).cast("bigint").alias("lookup_id"), F.lit(0).alias("kind"))
-    asked = lookups.select("user_key", F.col("read_ts").alias("at"), F.lit(None).cast("bigint").alias("v"), F.col("lookup_id").cast("bigint").alias("lookup_id"), F.lit(1).alias("kind"))
-    both = versions.unionByName(asked.where(F.col("user_key").isNotNull() & F.col("at").isNotNull()))
-    both, any_heavy = sliced(both, "user_key", "at", "salt", heavy_rows)
+    kv, undo = set_aside(kv, [*S.KV_COLUMNS, *([arrival] if arrival else [])])
+    real = kv.where(F.col("user_key").isNotNull() & F.col("version").isNotNull())
+    asked = lookups.select(F.col("lookup_id").cast("bigint").alias("lookup_id"), "user_key", F.col("read_ts").cast("bigint").alias("at"))
+    asked = settled(asked.where("user_key IS NOT NULL AND at IS NOT NULL"), "asked")
+    rows = with_keys(real, asked.select("user_key").distinct())
+    if arrival is None:
+        rows = rows.where(~F.coalesce(S.blank(), F.lit(False)))
+        slim = rows.select("user_key", "version")
+    else:  # a version written again by a blank is none
+        last = F.max_by(F.coalesce(S.blank(), F.lit(False)), arrival).alias("blank")
+        slim = rows.groupBy("user_key", "version").agg(last).where("NOT blank").select("user_key", "version")
+    nothing, kind = F.lit(None).cast("bigint"), F.lit(0).alias("kind")
+    both = slim.select("user_key", F.col("version").alias("at"), F.col("version").alias("v"), nothing.alias("lookup_id"), kind)
+    both = both.unionByName(asked.select("user_key", "at", nothing.alias("v"), "lookup_id", F.lit(1).alias("kind")))
+    both, any_heavy = sliced(settled(both, "asof"), "user_key", "at", "slice", "part", ["lookup_id"], heavy_rows)
+    w = Window.partitionBy("user_key", "slice", "part").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    hit = both.withColumn("version", F.max("v").over(w))
     if any_heavy:
-        tops = both.where("salt > 0").groupBy("user_key", "salt").agg(F.max("v").alias("v"))
-        earlier = Window.partitionBy("user_key").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-        into = tops.withColumn("v", F.max("v").over(earlier)).where("v IS NOT NULL")
-        both = both.unionByName(into.select("user_key", F.lit(None).cast("bigint").alias("lookup_id"), "salt", F.col("v").alias("at"), "v", F.lit(0).alias("kind")))
-    w = Window.partitionBy("user_key", "salt").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    hit = both.withColumn("version", F.max("v").over(w)).where("kind = 1 AND version IS NOT NULL").select("lookup_id", "user_key", "version")
-    records = last_any(rows)
-    both = unique_join(hit.withColumn("kv_id", F.struct("user_key", "version")).drop("user_key", "version"), records.withColumn("kv_id", F.struct("user_key", "version")), "kv_id", "lookup_id")
-    return undo(both.drop("kv_id").where(~S.gone(now)))
-
-
-def last_any(kv: DataFrame) -> DataFrame:
-    """One of the rows of each (key, version)."""
-    return kv.dropDuplicates(["user_key", "version"])
+        tops = both.where("slice > 0").groupBy("user_key", "slice").agg(F.max("v").alias("v"), F.max("part").alias("parts"))
+        earlier = Window.partitionBy("user_key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+        carried = F.greatest(F.max("v").over(earlier), F.when(F.col("parts") > 0, F.col("v")))
+        into = tops.select("user_key", "slice", carried.alias("carried")).where("carried IS NOT NULL")
+        hit = hit.join(F.broadcast(into), ["user_key", "slice"], "left").withColumn("version", F.greatest("version", "carried"))
+    found = F.struct("user_key", "version").alias("kv_id")
+    hit = written(hit.where("kind = 1 AND version IS NOT NULL").select("lookup_id", found), "hits")
+    records = last_any(rows, arrival).where(~S.gone(now)).withColumn("kv_id", F.struct("user_key", "version"))
+    whole = unique_join(hit, records.join(hit.select("kv_id").distinct(), "kv_id", "left_semi"), "kv_id", "lookup_id")
+    return undo(whole.drop("kv_id", *([arrival] if arrival and arrival not in S.KV_COLUMNS else [])))
+
+
+def last_any(kv: DataFrame, arrival: str | None = None) -> DataFrame:
+    """One row of each (key, version): the last by ``arrival``, else the greatest by its columns."""
+    (rank,) = fresh(kv, "rank")
+    if arrival:
+        order = [F.col(arrival).desc()]
+    else:
+        order = [F.col(c).desc() for c in ("meta", "expires_at", "user_meta", "value", "vptr")]
+    w = Window.partitionBy("user_key", "version").orderBy(*order)
+    return kv.withColumn(rank, F.row_number().over(w)).where(F.col(rank) == 1).drop(rank)

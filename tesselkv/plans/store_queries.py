@@ -96,7 +96,7 @@ def _(s, d):
 )
 def _(s, d):
     asked = table(s, d, "kv_incoming").select(F.col("incoming_id").alias("lookup_id"), "user_key", (1 + F.col("incoming_id") * 7 % 20000).alias("read_ts"))
-    return snapshot.multi_get(asked, A.records(s, d).select(*S.KV_COLUMNS), NOW).select("lookup_id", _key(), "version", F.hex("value").alias("value"))
+    return snapshot.multi_get(asked, A.records(s, d).select("arrival", *S.KV_COLUMNS), NOW, arrival="arrival").select("lookup_id", _key(), "version", F.hex("value").alias("value"))
 
 
 @query("q08_range_scan", f"WITH {KV}, {_chosen()} SELECT {SHOW} FROM chosen WHERE NOT {GONE} AND user_key >= 'gauge:4'::BLOB AND user_key < 'gauge:9'::BLOB")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Sequence
@@ -18,26 +19,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: ``spark.checkpoint.dir`` of the session.
+    """The folder every executor can reach: the session's checkpoint folder.
 
-    A folder of our own is made only where the setting is absent (local tests).
+    That is ``spark.checkpoint.dir``, or what ``setCheckpointDir`` was called with.  A
+    folder of our own is made only where neither is set and the master is local
+    (tests); on a cluster that would be another folder on each machine, and raises.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dir:
-        _own_dir[app] = "file://" + tempfile.mkdtemp(prefix="tesselkv-")
-        spark.sparkContext.setCheckpointDir(_own_dir[app])
-    return _own_dir[app]
+    context = spark.sparkContext
+    known = context._jsc.sc().getCheckpointDir()
+    if known.isDefined():
+        return known.get().rstrip("/")
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if context.applicationId not in _own_dir:
+        _own_dir[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="tesselkv-")
+    return _own_dir[context.applicationId]
+
+
+def _path(spark: SparkSession, at: str):
+    """(file system, path) of the JVM."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
 
 
 def shared_path(spark: SparkSession, what: str) -> str:
-    """A fresh path in the shared folder, removed when the application ends."""
+    """A fresh path in the shared folder, removed when the application ends at the latest."""
     at = f"{shared_dir(spark)}/tesselkv-{what}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(at)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    files, path = _path(spark, at)
+    files.deleteOnExit(path)
     return at
 
 
@@ -46,6 +58,7 @@ def written(df: DataFrame, what: str) -> DataFrame:
 
     Cuts the lineage without depending on any executor's disk, and keeps a value
     that a recomputation could change (a partition number) fixed for all readers.
+    Where the reader is done before the application is, ``release`` removes it.
     """
     spark = df.sparkSession
     at = shared_path(spark, what)
@@ -53,6 +66,28 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+def release(df: DataFrame) -> int:
+    """Removes the written tables that ``df`` reads, ``df`` not being needed any more; their number."""
+    spark = df.sparkSession
+    found = {m[1] for m in (re.match(r"(.*/tesselkv-[a-z]+-[0-9a-f]{32})/", f) for f in df.inputFiles()) if m}
+    for at in found:
+        files, path = _path(spark, at)
+        files.delete(path, True)
+    return len(found)
+
+
+_PLAIN = re.compile(r"^[\s:+|-]*(Project|Filter|Relation|RelationV2|LocalRelation|LogicalRDD|Range|Union)\b")
+
+
+def settled(df: DataFrame, what: str = "input") -> DataFrame:
+    """``df`` itself if it is only a scan (with filters and columns), else ``written``.
+
+    For operators that read their input more than once.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return df if all(_PLAIN.match(line) for line in plan.splitlines() if line.strip()) else written(df, what)
+
+
 def fresh(df: DataFrame, *wanted: str) -> list[str]:
     """Names for working columns that clash with no column of ``df``."""
     taken = {c.lower() for c in df.columns}
