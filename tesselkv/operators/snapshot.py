@@ -108,6 +108,17 @@ def with_keys(kv: DataFrame, keys: DataFrame, key: str = "user_key") -> DataFram
     return kv.join(F.broadcast(hashes), F.xxhash64(kv[key]) == F.col(h), "left_semi")
 
 
+def beside(kv: DataFrame, key: bytes) -> DataFrame:
+    """One row: the greatest key ``before`` and the least ``after`` ``key``, and the ``last`` of all; null where none is.
+
+    Keys of any version count, hidden ones too.  Minima and maxima combine before the
+    shuffle, so nothing is sorted.
+    """
+    at, k = F.col("user_key"), S.key_bytes(key)
+    before, after = F.max(F.when(at < k, at)), F.min(F.when(at > k, at))
+    return kv.agg(before.alias("before"), after.alias("after"), F.max(at).alias("last"))
+
+
 def multi_get(
     lookups: DataFrame, kv: DataFrame, now: int, heavy_rows: int | None = None, arrival: str | None = None
 ) -> DataFrame:
@@ -147,8 +158,9 @@ def multi_get(
         hit = hit.join(F.broadcast(into), ["user_key", "slice"], "left").withColumn("version", F.greatest("version", "carried"))
     found = F.struct("user_key", "version").alias("kv_id")
     hit = written(hit.where("kind = 1 AND version IS NOT NULL").select("lookup_id", found), "hits")
-    records = last_any(rows, arrival).where(~S.gone(now)).withColumn("kv_id", F.struct("user_key", "version"))
-    whole = unique_join(hit, records.join(hit.select("kv_id").distinct(), "kv_id", "left_semi"), "kv_id", "lookup_id")
+    wanted = hit.select("kv_id.user_key", "kv_id.version").distinct()
+    records = last_any(rows.join(wanted, ["user_key", "version"], "left_semi"), arrival).where(~S.gone(now))
+    whole = unique_join(hit, records.withColumn("kv_id", F.struct("user_key", "version")), "kv_id", "lookup_id")
     return undo(whole.drop("kv_id", *([arrival] if arrival and arrival not in S.KV_COLUMNS else [])))
 
 

@@ -25,14 +25,16 @@ def listing(tables: DataFrame) -> DataFrame:
     return tables.orderBy("level", F.when(F.col("level") == 0, F.col("table_id")), F.when(F.col("level") > 0, F.col("smallest")), "table_id")
 
 
-def level_violations(tables: DataFrame) -> DataFrame:
+def level_violations(tables: DataFrame, shared_key: bool = False) -> DataFrame:
     """Tables of level 1 and deeper that begin before an earlier table of their level ends.
 
     The running maximum of ``biggest`` catches overlaps with any earlier table, not
     only with the one before; it runs over sorted partitions, not a task a level.
+    With ``shared_key`` neighbours may meet in a key whose versions they divide.
     """
     deep = tables.where((F.col("level") >= 1) & F.col("smallest").isNotNull() & F.col("biggest").isNotNull())
-    return running(deep, ["level"], ["smallest", "table_id"], {"before": ("max", "biggest")}).where(F.col("before") >= F.col("smallest"))
+    laid = running(deep, ["level"], ["smallest", "biggest", "table_id"], {"before": ("max", "biggest")})
+    return laid.where(F.col("before") > F.col("smallest") if shared_key else F.col("before") >= F.col("smallest"))
 
 
 def overlaps(left: str, right: str, other_left: str, other_right: str) -> Column:

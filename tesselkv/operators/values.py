@@ -7,26 +7,38 @@ from pyspark.sql import functions as F
 
 from tesselkv import schema as S
 from tesselkv.functions.sketches import histogram_percentile, log_histogram
-from tesselkv.operators.ordered import running_sum
+from tesselkv.operators.ordered import running, running_sum
 from tesselkv.runtime import set_aside
 
 POINTER_BYTES = 12
+#: Fixed value: what 32 bits of an offset reach.
+MOST_BYTES = (1 << 32) - 1
 
 
-def separated(kv: DataFrame, threshold: int, file_size: int, order: list[str]) -> tuple[DataFrame, DataFrame]:
+def separated(kv: DataFrame, threshold: int, file_size: int, order: list[str], max_entries: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(records, value log): values of ``threshold`` bytes and more go to the log.
 
-    The log is laid out end to end in ``order`` and cut into files at ``file_size``:
-    ``fid`` is the file a value starts in, ``offset`` its place there.  A record of
-    a separated value keeps a pointer and the flag, and no value.  A file may run
-    over its size by its last value, as the log turns over only between entries.
+    The log is laid out end to end in ``order`` and cut into files at ``file_size``
+    bytes or, if given, ``max_entries`` entries: ``fid`` is the file a value starts in,
+    ``offset`` its place there.  A record of a separated value keeps a pointer and the
+    flag, and no value.  A file may run over its size by its last value, as the log
+    turns over only between entries.
     """
     kv, undo = set_aside(kv, [*dict.fromkeys([*S.KV_COLUMNS, *order])])
     n = F.octet_length("value").cast("bigint")
     inline = kv.where(F.col("value").isNull() | (n < threshold))
-    big = running_sum(kv.where(n >= threshold).withColumn("n", n), [], order, "n", "line")
-    fid = F.floor(F.col("line") / F.lit(file_size)).cast("int")
-    big = big.withColumn("vptr", F.struct(fid.alias("fid"), F.col("n").cast("int").alias("len"), F.pmod("line", F.lit(file_size)).cast("int").alias("offset")))
+    big = kv.where(n >= threshold).withColumn("n", n)
+    if max_entries is None:
+        big = running_sum(big, [], order, "n", "line")
+        big = big.withColumn("fid", F.floor(F.col("line") / F.lit(file_size)).cast("int"))
+        big = big.withColumn("at", F.pmod("line", F.lit(file_size)))
+    else:  # after so many bytes or entries a file is full, whatever comes first
+        big = running(big.withColumn("one", F.lit(1)), [], order, {"line": ("sum", "n"), "place": ("sum", "one")})
+        big = big.withColumn("bytes_cut", F.floor(F.col("line") / F.lit(file_size))).withColumn("entries_cut", F.floor(F.col("place") / F.lit(max_entries)))
+        big = big.withColumn("fid", (F.col("bytes_cut") + F.col("entries_cut")).cast("int"))
+        # A file's values are at most those of one ``file_size``, so this window is bounded.
+        big = big.withColumn("at", F.col("line") - F.min("line").over(Window.partitionBy("fid")))
+    big = big.withColumn("vptr", F.struct("fid", F.col("n").cast("int").alias("len"), F.col("at").cast("int").alias("offset")))
     log = big.select(F.col("vptr.fid").alias("fid"), F.col("vptr.offset").alias("offset"), "value")
     flagged = F.col("meta").bitwiseOR(F.lit(S.VALUE_POINTER)).cast("smallint")
     moved = big.withColumn("meta", flagged).withColumn("value", F.lit(None).cast("binary")).select(*kv.columns)
@@ -61,18 +73,7 @@ def reclaim(log: DataFrame, kv: DataFrame) -> DataFrame:
     return log.join(live, ["fid", "offset"], "left_semi")
 
 
-def assign_files(entries: DataFrame, order: list[str], n_bytes: str, file_size: int, max_entries: int) -> DataFrame:
-    """``entries`` with ``fid``: the log turns over at ``file_size`` bytes or ``max_entries``.
-
-    Both limits are met by taking the later file of the two.
-    """
-    laid = running_sum(entries.withColumn("_one", F.lit(1)), [], order, n_bytes, "_bytes")
-    laid = running_sum(laid, [], order, "_one", "_n")
-    fid = F.greatest(F.floor(F.col("_bytes") / F.lit(file_size)), F.floor(F.col("_n") / F.lit(max_entries)))
-    return laid.withColumn("fid", fid.cast("int")).drop("_one", "_bytes", "_n")
-
-
-def write_validation(entries: DataFrame, file: str, order: list[str], n_bytes: str, limit: int = (1 << 32) - 1) -> DataFrame:
-    """Entries that would start or end beyond ``limit`` of their file."""
-    w = Window.partitionBy(file).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return entries.withColumn("end", F.sum(n_bytes).over(w)).where(F.col("end") > limit)
+def write_validation(entries: DataFrame, file: str, order: list[str], n_bytes: str, limit: int = MOST_BYTES) -> DataFrame:
+    """Entries that would end beyond ``limit`` of their file."""
+    laid = running_sum(entries, [file], order, n_bytes, "start")
+    return laid.withColumn("end", F.col("start") + F.coalesce(n_bytes, F.lit(0))).drop("start").where(F.col("end") > limit)

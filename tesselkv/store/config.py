@@ -28,6 +28,8 @@ class Config:
     encryption_key: bytes = b""
     key_rotation: int = 10 * 86_400
     output_rows: int = 5_000_000
+    lease: int = 60  # a lock whose process has not renewed it for so long is dead
+    file_retention: int = 600  # replaced files stay so long, for scans without a transaction
     log_commits: int = 1000  # a flush is due at so many commits, or at a memtable's bytes
     levels: LevelConfig = field(default_factory=LevelConfig)
 
@@ -42,6 +44,8 @@ class Config:
     def checked(self) -> Config:
         if not MIB <= self.vlog_file_size < 2048 * MIB:
             raise BadConfig("vlog_file_size lies between 1 MiB and 2 GiB")
+        if self.lease < 1 or self.file_retention < 0 or self.vlog_max_entries < 1:
+            raise BadConfig("lease, file_retention and vlog_max_entries are positive")
         if self.num_versions_to_keep < 1 or self.output_rows < 1:
             raise BadConfig("at least one version and one row a table are kept")
         if self.compression not in (0, 1, 2):

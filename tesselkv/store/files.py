@@ -59,5 +59,16 @@ class Files:
         stream.close()
         return True
 
+    def modified(self, name: str) -> float:
+        """Seconds since the epoch by the file system's clock; 0 if there is no such file."""
+        path = self._path(name)
+        return self._fs.getFileStatus(path).getModificationTime() / 1000 if self._fs.exists(path) else 0.0
+
+    def touch(self, name: str, at: float) -> None:
+        self._fs.setTimes(self._path(name), int(at * 1000), -1)
+
+    def rename(self, name: str, to: str) -> bool:
+        return self._fs.rename(self._path(name), self._path(to))
+
     def delete(self, name: str) -> None:
         self._fs.delete(self._path(name), True)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import threading
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -73,12 +74,47 @@ def published(records: DataFrame, subscriptions: Sequence[Subscription]) -> Data
     return events.select("subscription", *keep)
 
 
-def subscribe(changes: DataFrame, subscriptions: Sequence[Subscription], callback: Callable[[DataFrame, int], None], checkpoint: str, once: bool = False) -> StreamingQuery:
+class Registry:
+    """Subscriptions that may be added and removed while a stream runs; each batch takes those of its time."""
+
+    def __init__(self, subscriptions: Sequence[Subscription] = ()):
+        self._held = {s.id: s for s in subscriptions}
+        self._mutex = threading.Lock()
+
+    def add(self, prefix: bytes, ignore: str = "") -> int:
+        """The new subscription's id."""
+        parse_ignore(ignore)
+        with self._mutex:
+            number = 1 + max(self._held, default=0)
+            self._held[number] = Subscription(number, prefix, ignore)
+            return number
+
+    def remove(self, number: int) -> None:
+        with self._mutex:
+            self._held.pop(number, None)
+
+    def current(self) -> list[Subscription]:
+        with self._mutex:
+            return list(self._held.values())
+
+
+def subscribe(
+    changes: DataFrame,
+    subscriptions: Sequence[Subscription] | Registry,
+    callback: Callable[[DataFrame, int], None],
+    checkpoint: str,
+    once: bool = False,
+) -> StreamingQuery:
     """Calls back with each batch of events; a callback that fails ends the subscription.
 
     A batch may come again after a failure, under the same number.
     """
-    writer = published(changes, subscriptions).writeStream.foreachBatch(callback).option("checkpointLocation", checkpoint)
+    registry = subscriptions if isinstance(subscriptions, Registry) else Registry(subscriptions)
+
+    def publish(batch: DataFrame, batch_id: int) -> None:
+        callback(published(batch, registry.current()), batch_id)
+
+    writer = changes.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 

@@ -1,6 +1,9 @@
 """The store end to end, isolation anomalies, subscriptions."""
 
+import json
 import random
+import threading
+import time
 from dataclasses import replace
 
 import pytest
@@ -9,7 +12,7 @@ from pyspark.sql import functions as F
 from tesselkv import errors as E
 from tesselkv.plans.levels import LevelConfig
 from tesselkv.store import Config, Entry, Store
-from tesselkv.streaming.subscriptions import StateTable, Subscription, matching, parse_ignore
+from tesselkv.streaming.subscriptions import Registry, StateTable, Subscription, matching, parse_ignore
 
 
 @pytest.fixture
@@ -346,3 +349,188 @@ def test_flush_when_due(spark, tmp_path):
             s.update(lambda t, i=i: t.set(b"k%d" % i, b"v"))
         assert len(s.state["tables"]) == 1 and len(s.state["log"]) == 1
         assert s.scan().count() == 3
+
+
+def test_managed_reads_keep_their_versions(spark, tmp_path):
+    with Store(spark, f"file://{tmp_path}/s", Config(managed_txns=True), now=lambda: 1000) as s:
+        for ts in (5, 10):
+            t = s.txn_at(ts)
+            t.set(b"k", str(ts).encode())
+            t.commit(ts)
+        s.flush()
+        s.compact(force=True)
+        assert s.txn_at(7).get(b"k").value == b"5"
+        s.set_discard_ts(10)
+        s.compact(force=True)
+        with pytest.raises(E.KeyNotFound):
+            s.txn_at(7).get(b"k")
+        assert s.txn_at(10).get(b"k").value == b"10"
+
+
+def test_a_held_scan_outlives_a_compaction(spark, tmp_path):
+    with Store(spark, f"file://{tmp_path}/s", Config(file_retention=0), now=lambda: 1000) as s:
+        s.ingest(spark.createDataFrame([(bytearray(b"k%d" % i), bytearray(b"v")) for i in range(20)], "user_key binary, value binary"))
+        s.flush()
+        t = s.txn(False)
+        held = t.scan()
+        s.compact(force=True)
+        assert held.count() == 20 and s.state["retired"]
+        t.discard()
+        assert s.remove_retired() and not s.state["retired"] and s.scan().count() == 20
+
+
+def test_a_commit_in_flight_is_not_read(store):
+    ts = store.oracle.commit_ts(0, (), [b"k"])
+    t = store.txn()
+    assert t.read_ts < ts
+    started, got = threading.Event(), []
+
+    def other():
+        started.set()
+        got.append(store.oracle.read_ts())
+
+    thread = threading.Thread(target=other)
+    thread.start()
+    started.wait()
+    time.sleep(0.2)
+    assert not got  # waits for this thread's commit
+    store.oracle.done_commit(ts)
+    thread.join(10)
+    assert got == [ts]
+
+
+def test_a_lock_of_a_dead_process_is_taken_over(spark, tmp_path):
+    root = f"file://{tmp_path}/s"
+    s = Store(spark, root, now=lambda: 1000)
+    s.update(lambda t: t.set(b"k", b"1"))
+    with pytest.raises(E.StoreLocked):
+        Store(spark, root)
+    s.lease._ended.set()  # as if the process had died: nobody renews, and its number is free
+    dead = dict(s.lease.token, pid=2**22 + 1)
+    s.files.delete("LOCK")
+    s.files.create_new("LOCK", json.dumps(dead).encode())
+    with Store(spark, root, now=lambda: 1000) as other:
+        assert other.get(b"k").value == b"1"
+        with pytest.raises(E.StoreLocked):
+            s.update(lambda t: t.set(b"k", b"2"))
+    elsewhere = dict(dead, host="another machine")
+    s.files.create_new("LOCK", json.dumps(elsewhere).encode())
+    with pytest.raises(E.StoreLocked):
+        Store(spark, root)
+    s.files.touch("LOCK", time.time() - 100)
+    Store(spark, root).close()
+
+
+def test_scans_of_a_transaction_see_its_writes_and_conflict(store):
+    store.update(lambda t: [t.set(b"a%d" % i, b"old") for i in range(4)])
+    t = store.txn()
+    t.set(b"a1", b"new")
+    t.set(b"a9", b"new")
+    t.delete(b"a2")
+    got = [(bytes(r.user_key), bytes(r.value)) for r in t.scan((b"a", b"b")).collect()]
+    assert got == [(b"a0", b"old"), (b"a1", b"new"), (b"a3", b"old"), (b"a9", b"new")]
+    store.update(lambda u: u.set(b"c", b"outside"))
+    u = store.txn()
+    u.scan((b"a", b"b"))
+    u.set(b"x", b"1")
+    assert t.commit()
+    with pytest.raises(E.Conflict):
+        u.commit()
+    w = store.txn()
+    w.scan((b"a", b"b"))
+    w.set(b"x", b"2")
+    store.ingest(store.spark.createDataFrame([(bytearray(b"a7"), bytearray(b"v"))], "user_key binary, value binary"))
+    with pytest.raises(E.Conflict):
+        w.commit()
+    assert store.beside(b"a1") == (b"a0", b"a2", b"x" if store.get(b"x") else b"c")
+
+
+def test_reads_leave_out_tables_and_value_files(spark, tmp_path):
+    with Store(spark, f"file://{tmp_path}/s", Config(value_threshold=50), now=lambda: 1000) as s:
+        for letter in "abc":
+            s.ingest(spark.createDataFrame([(bytearray(f"{letter}{i}".encode()), bytearray(letter.encode() * 100)) for i in range(5)], "user_key binary, value binary"))
+            s.flush()
+        assert len(s.state["vlog"]) == 3
+        s.metrics.clear()
+        assert s.get(b"b3").value == b"b" * 100
+        assert (s.metrics["tables_read"], s.metrics["tables_pruned"], s.metrics["value_files_read"]) == (1, 2, 1)
+        s.metrics.clear()
+        got = s.scan(within=(b"b", b"d")).collect()
+        assert [bytes(r.user_key)[:1] for r in got] == [b"b"] * 5 + [b"c"] * 5 and all(len(r.value) == 100 for r in got)
+        assert (s.metrics["tables_read"], s.metrics["tables_pruned"]) == (2, 1)
+
+
+def test_large_flush_hot_key_and_cuts(spark, tmp_path):
+    levels = LevelConfig(memtable_size=1 << 20)
+    with Store(spark, f"file://{tmp_path}/s", Config(managed_txns=True, levels=levels, output_rows=500, log_commits=100, value_threshold=1000), now=lambda: 1000) as s:
+        rows = spark.range(60_000).select(F.encode(F.concat(F.lit("k"), F.sha2(F.col("id").cast("string"), 512)), "UTF-8").alias("user_key"), F.encode(F.sha2(F.col("id").cast("string"), 512), "UTF-8").alias("value"))
+        s.ingest(rows)
+        assert len(s.state["tables"]) > 3  # a flush makes a table of each memtable's bytes
+        assert s.scan().count() == 60_000
+        for ts in range(100, 140):
+            t = s.txn_at(ts)
+            t.set(b"hot", b"x" * 40)
+            t.commit(ts)
+        s.flush()
+        s.compact(force=True)
+        hot = [t for t in s.state["tables"] if t["smallest"] <= b"hot".hex() <= t["biggest"]]
+        assert hot and s.check() == []
+        assert {t.version for t in s.records(b"hot").collect()} == set(range(100, 140))
+        assert s.write_amplification() > 1
+
+
+def test_stale_tables_of_the_last_level(spark, tmp_path, monkeypatch):
+    from tesselkv.plans import levels as L
+
+    clock = [1000]
+    with Store(spark, f"file://{tmp_path}/s", now=lambda: clock[0]) as s:
+        for v in (b"1", b"2"):
+            s.update(lambda t, v=v: [t.set_entry(Entry(b"k%d" % i, v, meta=4)) for i in range(30)])  # discards earlier ones
+            s.flush()
+        s.compact(force=True)
+        assert sum(t["stale"] for t in s.state["tables"]) == 30 * (3 + 1 + 12) - 10
+        assert s.maintain() == 0
+        clock[0] += 7200
+        monkeypatch.setattr(L, "STALE_BYTES", 100)
+        made = s.compact()
+        assert made and made[0]["level"] == s.config.levels.levels - 1 and s.scan().count() == 30
+
+
+def test_manifest_differences(spark, tmp_path):
+    root = f"file://{tmp_path}/s"
+    with Store(spark, root, now=lambda: 1000) as s:
+        for i in range(70):
+            s.ban_namespace(i)
+        s.update(lambda t: t.set(b"k", b"v"))
+        names = s.files.names("manifest")
+        state = s.state
+    assert any(n.endswith(".delta.json") for n in names)
+    with Store(spark, root, now=lambda: 1000) as s:
+        assert s.state["banned"] == list(range(70)) and s.state["log"] == state["log"] and s.get(b"k").value == b"v"
+
+
+def test_plans_do_not_show_keys(spark, tmp_path, capsys):
+    key = b"0123456789abcdef"
+    with Store(spark, f"file://{tmp_path}/s", Config(encryption_key=key), now=lambda: 1000) as s:
+        s.update(lambda t: t.set(b"k", b"v"))
+        s.scan().explain(True)
+        shown = capsys.readouterr().out
+        data_key = s.keys.data_key(s.state["log"][0]["key"])
+        assert data_key.hex().lower() not in shown.lower() and "redacted" in shown
+
+
+def test_registered_at_run_time(store, tmp_path):
+    registry, seen = Registry(), []
+    store.update(lambda t: t.set(b"a1", b"v"))
+    q = store.subscribe(registry, lambda b, i: seen.extend((r.subscription, bytes(r.user_key)) for r in b.collect()), f"file://{tmp_path}/c")
+    try:
+        q.processAllAvailable()
+        number = registry.add(b"a")
+        store.update(lambda t: t.set(b"a2", b"v"))
+        q.processAllAvailable()
+        registry.remove(number)
+        store.update(lambda t: t.set(b"a3", b"v"))
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    assert seen == [(number, b"a2")]
