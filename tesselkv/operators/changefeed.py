@@ -24,31 +24,50 @@ def plain_op(op: Column) -> Column:
 def latest_changes(changes: DataFrame, key: str, seq: str, op: str) -> DataFrame:
     """The last change of every key, by ``seq``, with ``op`` in its plain spelling.
 
-    Copies of one change (equal ``key`` and ``seq``) count once.  Changes without a
-    key, a sequence number or a readable operation say nothing and are left out.
-    The ranking keeps one row per key and partition before it shuffles, so a key
-    with a third of all changes makes no large task.
+    Copies of one change (equal ``key`` and ``seq``) count once; where they differ the
+    greatest of each column holds (CREATE before DELETE), so a task that runs again
+    finds the same.  Changes without a key, a sequence number or a readable operation
+    say nothing and are left out.  The ranking keeps one row per key and partition
+    before it shuffles, so a key with a third of all changes makes no large task.
+    Columns must be of types that sort.
     """
     rank, made = fresh(changes, "rank", "made")
     # A flag in place of the spelling: with fixed-width columns copies are dropped by hash.
     read = changes.withColumn(made, plain_op(F.col(op)) == UPSERT).drop(op)
     read = read.where(F.col(key).isNotNull() & F.col(seq).isNotNull() & F.col(made).isNotNull())
-    once = read.dropDuplicates([key, seq])
+    once = read.groupBy(key, seq).agg(*[F.max(c).alias(c) for c in read.columns if c not in (key, seq)])
     last = Window.partitionBy(key).orderBy(F.col(seq).desc())
     first = once.withColumn(rank, F.row_number().over(last)).where(F.col(rank) == 1)
     return first.withColumn(op, F.when(F.col(made), UPSERT).otherwise(DELETE)).select(*changes.columns)
 
 
+def merged_changes(base: DataFrame | None, changes: DataFrame, key: str, seq: str, op: str, keep: Sequence[str]) -> DataFrame:
+    """The state ``base`` after ``changes``: columns ``key``, ``seq``, ``op`` and ``keep``, deletes included.
+
+    A deleted key stays with the ``seq`` of its delete, so an older change that comes
+    late finds it and does nothing: parts of a feed may be merged in any order and any
+    number of times.  ``base`` is None for an empty one, a state made here, or a plain
+    table without ``op``, whose rows exist.
+    """
+    names = [key, seq, op, *[c for c in keep if c not in (key, seq, op)]]
+    last = latest_changes(changes.select(*names), key, seq, op)
+    if base is None:
+        return last
+    old = base if op in base.columns else base.withColumn(op, F.lit(UPSERT))
+    return latest_changes(old.select(*names).unionByName(last), key, seq, op)
+
+
+def existing(state: DataFrame, op: str) -> DataFrame:
+    """Rows of a state that exist, without ``op``."""
+    return state.where(F.col(op) == UPSERT).drop(op)
+
+
 def apply_changes(base: DataFrame | None, changes: DataFrame, key: str, seq: str, op: str, keep: Sequence[str]) -> DataFrame:
-    """``base`` after all ``changes``: columns ``key``, ``seq`` and ``keep``.
+    """``base`` after all ``changes``, what exists only: columns ``key``, ``seq`` and ``keep``.
 
-    ``base`` (or None for an empty one) has one row per key with the ``seq`` of the
-    change that made it; a change no newer than that does nothing, so applying a
-    feed again, or its parts in any order, ends in the same state, given that
-    deleted keys of the base are kept by the caller until the feed has passed them.
+    A change no newer than what ``base`` holds of its key does nothing.  For feeds
+    whose parts come late keep the state of ``merged_changes`` as the next base: it
+    remembers deletes, which this result does not.
     """
-    last = latest_changes(changes.select(key, seq, op, *[c for c in keep if c not in (key, seq, op)]), key, seq, op)
-    if base is not None:
-        old = base.select(key, seq, *keep).withColumn(op, F.lit(UPSERT))
-        last = latest_changes(old.unionByName(last), key, seq, op)
-    return last.where(F.col(op) == UPSERT).select(key, seq, *keep)
+    state = merged_changes(base, changes, key, seq, op, keep)
+    return existing(state, op).select(key, seq, *[c for c in keep if c not in (key, seq)])

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow.parquet as pq
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -36,6 +41,26 @@ def decrypted(data: Column, key: Column) -> Column:
 CODECS = {0: "none", 1: "snappy", 2: "zstd"}
 
 
+def codecs_of(spark: SparkSession, path: str) -> DataFrame:
+    """Columns codec, n_files, n_chunks of the Parquet files in a folder, by their footers."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for name in batch["path"]:
+                files, at = fs.FileSystem.from_uri(name)
+                with files.open_input_file(at) as f:
+                    meta = pq.ParquetFile(f).metadata
+                groups = [meta.row_group(i) for i in range(meta.num_row_groups)]
+                rows += [(name, g.column(j).compression) for g in groups for j in range(g.num_columns)]
+            yield pd.DataFrame(rows, columns=["path", "codec"])
+
+    uri = F.regexp_replace("path", "^file:/+", "file:///")
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select(uri.alias("path"))
+    each = found.mapInPandas(run, "path string, codec string")
+    return each.groupBy("codec").agg(F.countDistinct("path").alias("n_files"), F.count(F.lit(1)).alias("n_chunks"))
+
+
 def written_with(df: DataFrame, code: int, path: str, bloom_key: str | None = None) -> DataFrame:
     """Parquet with codec 0, 1 or 2 and, if asked, a Bloom filter on a key column."""
     writer = df.write.option("compression", CODECS[code])

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesselkv import schema as S
-from tesselkv.operators.skew import sliced
+from tesselkv.operators.skew import sliced, unique_join
 from tesselkv.runtime import set_aside, settled
 
 
@@ -85,14 +85,20 @@ def discard_stats(judged_kv: DataFrame, length: str = "len") -> DataFrame:
     return freed.groupBy(F.col("vptr.fid").cast("bigint").alias("fid")).agg(F.sum(F.col(f"vptr.{length}").cast("bigint")).alias("bytes"))
 
 
-def accumulate_discards(stats: DataFrame, changes: DataFrame) -> DataFrame:
+def accumulate_discards(stats: DataFrame, changes: DataFrame, order: str | None = None) -> DataFrame:
     """``stats`` (fid, bytes) after ``changes`` (fid, n): add n, or back to 0 if n < 0.
 
-    A reset in a batch holds for the whole batch.
+    With ``order``, a column of ``changes``, what follows the last reset of a file still
+    counts; without it a reset in a batch holds for the whole batch.
     """
-    both = stats.select("fid", F.col("bytes").alias("n"), F.lit(False).alias("reset")).unionByName(changes.select("fid", F.greatest("n", F.lit(0)).alias("n"), (F.col("n") < 0).alias("reset")))
-    summed = both.where("fid IS NOT NULL").groupBy("fid").agg(F.sum("n").alias("bytes"), F.max("reset").alias("reset"))
-    return summed.select("fid", F.when(F.col("reset"), F.lit(0)).otherwise(F.col("bytes")).cast("bigint").alias("bytes"))
+    resets = changes.where("n < 0").groupBy("fid").agg(F.max(order if order else "n").alias("_last"))
+    if order is None:
+        after = changes.join(resets, "fid", "left_anti")
+    else:
+        after = unique_join(changes, resets, "fid", order, "left").where(F.col("_last").isNull() | (F.col(order) > F.col("_last")))
+    base = stats.select("fid", F.col("bytes").alias("n")).join(resets, "fid", "left_anti")
+    both = base.unionByName(after.select("fid", "n")).unionByName(resets.select("fid", F.lit(0).alias("n")))
+    return both.where("fid IS NOT NULL").groupBy("fid").agg(F.sum("n").cast("bigint").alias("bytes"))
 
 
 def stale_size(judged_kv: DataFrame) -> DataFrame:

@@ -188,7 +188,8 @@ def late_rows(df: DataFrame, key: str, order: str, version: str, heavy_rows: int
     spread = [c for c in (version, *df.columns) if c not in (key, order)]
     rows, any_heavy = sliced(rows, key, order, slice_, part, list(dict.fromkeys(spread)), heavy_rows)
     by = [key, slice_, part]
-    earlier = Window.partitionBy(*by).orderBy(order).rangeBetween(Window.unboundedPreceding, -1)
+    # Rows that tie in ``order`` come by version, so those before a row are not greater and hide nothing.
+    earlier = Window.partitionBy(*by).orderBy(order, version).rowsBetween(Window.unboundedPreceding, -1)
     if any_heavy:
         rows = rows.repartition(*by)
     judged = rows.withColumn(best, F.max(version).over(earlier))

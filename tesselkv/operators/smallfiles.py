@@ -8,10 +8,12 @@ without parsing records, and checks lengths and checksums of what it wrote.
 
 from __future__ import annotations
 
+import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -68,7 +70,24 @@ class BadInput(ValueError):
     """An input file that may not be joined to others as it is."""
 
 
-def frame_ends(data: bytes) -> list[int]:
+class _Bytes:
+    """A file as a sequence of bytes of which only a piece is in memory."""
+
+    def __init__(self, file):
+        self.file, self.n, self.at, self.held = file, file.size(), 0, b""
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __getitem__(self, span: slice) -> bytes:
+        start, end = span.start, min(span.stop, self.n)
+        if not self.at <= start <= end <= self.at + len(self.held):
+            self.file.seek(start)
+            self.at, self.held = start, self.file.read(max(CHUNK, end - start))
+        return self.held[start - self.at : end - self.at]
+
+
+def frame_ends(data: bytes | _Bytes) -> list[int]:
     """Where each zstandard frame of ``data`` ends, by the public format (RFC 8878).
 
     Only headers are read: no block is decompressed.  Raises ``BadInput`` unless
@@ -107,45 +126,80 @@ def frame_ends(data: bytes) -> list[int]:
     return ends
 
 
-def _pieces(data: bytes, kind: str, header: bytes | None, first: bool) -> list[bytes]:
-    """What of one input goes into the output."""
-    if kind == "zstd":
-        frame_ends(data)
-        return [data] if data else []
-    data = data.removeprefix(b"\xef\xbb\xbf")
-    if header is not None:
-        if data and not data.removesuffix(b"\n").split(b"\n", 1)[0] == header:
+class _Output:
+    """One output in the making, under a name that no other attempt of its task has."""
+
+    def __init__(self, out: str, kind: str, with_header: bool):
+        self.out, self.kind, self.with_header = out, kind, with_header
+        self.files, self.target = fs.FileSystem.from_uri(out)
+        folder, _, name = self.target.rpartition("/")
+        self.hidden = f"{folder}/.{name}.{uuid.uuid4().hex}"
+        self.files.create_dir(folder, recursive=True)
+        self.sink = self.files.open_output_stream(self.hidden)
+        self.crc = self.length = self.read = self.lines = self.inputs = 0
+        self.header: bytes | None = None
+
+    def put(self, piece: bytes) -> None:
+        self.sink.write(piece)
+        self.crc, self.length = zlib.crc32(piece, self.crc), self.length + len(piece)
+
+    def add(self, path: str, expected: int | None) -> None:
+        source, at = fs.FileSystem.from_uri(path)
+        with source.open_input_file(at) as f:
+            size = f.size()
+            if expected is not None and size != expected:
+                raise BadInput(f"{path} has {size} bytes, and {expected} were planned")
+            self.read, self.inputs = self.read + size, self.inputs + 1
+            if self.kind == "zstd":
+                frame_ends(_Bytes(f))
+                f.seek(0)
+                while chunk := f.read(CHUNK):
+                    self.put(chunk)
+                return
+            if f.read(3) != b"\xef\xbb\xbf":
+                f.seek(0)
+            if self.with_header and size:
+                self._header(f)
+            last = b"\n"
+            while chunk := f.read(CHUNK):
+                self.put(chunk)
+                self.lines, last = self.lines + chunk.count(b"\n"), chunk[-1:]
+            if last != b"\n":
+                self.put(b"\n")
+                self.lines += 1
+
+    def _header(self, f) -> None:
+        """Passes the first line over; the first file's goes to the output."""
+        start, line = f.tell(), b""
+        while b"\n" not in line and (chunk := f.read(CHUNK)):
+            line += chunk
+        line, newline, _ = line.partition(b"\n")
+        if self.header is None:
+            self.header = line
+            self.put(line + b"\n")
+        elif line != self.header:
             raise BadInput("header differs from the first file's")
-        data = data if first else data.partition(b"\n")[2]
-    return [data, b"" if data.endswith(b"\n") else b"\n"] if data else []
-
-
-def _join_files(out: str, paths: list[str], kind: str, with_header: bool) -> dict:
-    from pyarrow import fs
-
-    files, target = fs.FileSystem.from_uri(out)
-    crc, length, header, read, written = 0, 0, None, 0, False
-    hidden = f"{target}.writing"
-    with files.open_output_stream(hidden) as sink:
-        for path in paths:
-            source, at = fs.FileSystem.from_uri(path)
-            with source.open_input_file(at) as f:
-                data = f.read()
-            read += len(data)
-            if with_header and header is None and data:
-                header = data.removeprefix(b"\xef\xbb\xbf").removesuffix(b"\n").split(b"\n", 1)[0]
-            for piece in _pieces(data, kind, header if with_header else None, not written):
-                sink.write(piece)
-                crc, length, written = zlib.crc32(piece, crc), length + len(piece), True
-    check, size = 0, 0
-    with files.open_input_stream(hidden) as f:
-        while chunk := f.read(CHUNK):
-            check, size = zlib.crc32(chunk, check), size + len(chunk)
-    if (check, size) != (crc, length):
-        files.delete_file(hidden)
-        raise OSError(f"{out}: wrote {length} bytes, read back {size}, or their checksum differs")
-    files.move(hidden, target)
-    return {"out": out, "n_inputs": len(paths), "bytes_in": read, "bytes_out": length, "crc32": crc}
+        f.seek(start + len(line) + len(newline))
+
+    def drop(self) -> None:
+        self.sink.close()
+        self.files.delete_file(self.hidden)
+
+    def close(self) -> dict:
+        """The output appears, if what was written reads back with its length and checksum."""
+        self.sink.close()
+        check = size = 0
+        with self.files.open_input_stream(self.hidden) as f:
+            while chunk := f.read(CHUNK):
+                check, size = zlib.crc32(chunk, check), size + len(chunk)
+        if (check, size) != (self.crc, self.length):
+            self.files.delete_file(self.hidden)
+            raise OSError(f"{self.out}: wrote {self.length} bytes, read back {size}, or their checksum differs")
+        self.files.move(self.hidden, self.target)
+        return {"out": self.out, "n_inputs": self.inputs, "bytes_in": self.read, "bytes_out": self.length, "n_lines": self.lines, "crc32": self.crc}
+
+
+_REPORT = "out string, n_inputs long, bytes_in long, bytes_out long, n_lines long, crc32 long"
 
 
 def concatenate(layout: DataFrame, kind: str = "lines", with_header: bool = False) -> DataFrame:
@@ -153,19 +207,112 @@ def concatenate(layout: DataFrame, kind: str = "lines", with_header: bool = Fals
 
     ``kind`` is 'lines' (newline-delimited; a missing last newline is added, a byte
     order mark and, ``with_header``, the repeated first line are dropped) or 'zstd'
-    (whole frames, which stay frames).  Empty inputs add nothing.  An input that is
-    cut off, or whose header differs, fails the job before its output appears: an
-    output is written under another name, read back against length and CRC-32, then
-    renamed, so a task that runs again leaves the same file.  One task writes one
-    output; its inputs are small, one at a time is in memory.  Rows with a null
-    path or output are left out; a repeated row repeats its file.
+    (whole frames, which stay frames).  Empty inputs add nothing.  A column ``n_bytes``
+    is the length each input must have.  An input that is cut off, or whose header or
+    length differs, fails the job before its output appears: an output is written
+    under a name of its attempt, read back against length and CRC-32, then renamed, so
+    tasks that run twice, even at the same time, leave the same file.  One task writes
+    one output, in pieces of a megabyte, its inputs in turn; nothing is collected.
+    ``n_lines`` counts the records of 'lines', without headers.  Rows with a null path
+    or output are left out; a repeated row repeats its file.
     """
     if kind not in ("lines", "zstd") or (kind == "zstd" and with_header):
         raise ValueError("kind is 'lines' (with or without header) or 'zstd'")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, done = None, []
+        try:
+            for batch in batches:
+                for out, path, n in zip(batch["out"], batch["path"], batch["n_bytes"], strict=True):
+                    if now is None or now.out != out:
+                        if now is not None:
+                            done.append(now.close())
+                        now = None
+                        now = _Output(out, kind, with_header)
+                    now.add(path, None if pd.isna(n) else int(n))
+                yield pd.DataFrame(done, columns=[c.split()[0] for c in _REPORT.split(", ")])
+                done = []
+            if now is not None:
+                last, now = now, None
+                yield pd.DataFrame([last.close()])
+        finally:
+            if now is not None:
+                now.drop()
+
+    n = F.col("n_bytes").cast("bigint") if "n_bytes" in layout.columns else F.lit(None).cast("bigint").alias("n_bytes")
+    rows = layout.where(F.col("path").isNotNull() & F.col("out").isNotNull()).select("out", "place", "path", n)
+    return rows.repartition("out").sortWithinPartitions("out", "place", "path").mapInPandas(run, _REPORT)
+
+
+def file_layout(plan: DataFrame, files: DataFrame, folder: str, suffix: str = "") -> DataFrame:
+    """What ``concatenate`` needs to carry out ``plan_merges``: columns out, place, path, n_bytes.
+
+    ``files`` (table_id, path, n_bytes) has one row per table.  Outputs of a single
+    input are left out: that file stays as it is.  A planned table without a file
+    raises when the layout is used.
+    """
+    several = plan.groupBy("level", "output").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    plan = plan.select("level", "output", "table_id", "line_start")
+    same = plan["level"].eqNullSafe(several["level"]) & (plan["output"] == several["output"])
+    rows = plan.join(several, same, "left_semi").join(files.select("table_id", "path", "n_bytes"), "table_id", "left")
+    level = F.coalesce(F.col("level").cast("string"), F.lit("none"))
+    out = F.concat(F.lit(f"{folder.rstrip('/')}/"), level, F.lit("/"), F.col("output").cast("string"), F.lit(suffix))
+    path = F.when(F.col("path").isNull(), F.raise_error(F.concat(F.lit("no file of table "), F.col("table_id").cast("string")))).otherwise(F.col("path"))
+    return rows.select(out.alias("out"), F.col("line_start").alias("place"), path.alias("path"), "n_bytes")
+
+
+def retire(layout: DataFrame, report: DataFrame) -> DataFrame:
+    """Deletes the inputs of outputs that are whole, and says how many of each: columns out, n_deleted.
+
+    Whole means that the output has all inputs of its layout and their bytes, and is
+    there with the reported length; the inputs of any other output stay.
+    """
+    planned = layout.where(F.col("path").isNotNull() & F.col("out").isNotNull())
+    sums = planned.groupBy("out").agg(F.count(F.lit(1)).alias("n"), F.sum("n_bytes").alias("b"))
+    whole = report.join(sums, "out").where((F.col("n") == F.col("n_inputs")) & (F.coalesce("b", "bytes_in") == F.col("bytes_in")))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lengths: dict[str, int] = {}
+        for batch in batches:
+            gone = []
+            for out, path, length in zip(batch["out"], batch["path"], batch["bytes_out"], strict=True):
+                if out not in lengths:
+                    lengths = {out: fs.FileSystem.from_uri(out)[0].get_file_info(fs.FileSystem.from_uri(out)[1]).size or 0}
+                files, at = fs.FileSystem.from_uri(path)
+                there = lengths[out] == length and files.get_file_info(at).type == fs.FileType.File
+                if there:
+                    files.delete_file(at)
+                gone.append(int(there))
+            yield pd.DataFrame({"out": batch["out"], "n": gone})
+
+    rows = planned.select("out", "path").distinct().join(whole.select("out", "bytes_out"), "out")
+    return rows.sortWithinPartitions("out").mapInPandas(run, "out string, n long").groupBy("out").agg(F.sum("n").alias("n_deleted"))
+
+
+def write_lines(df: DataFrame, path: str, line: str, order: Sequence[str]) -> DataFrame:
+    """Writes a newline-delimited file for each ``path`` (URIs), its ``line`` values in ``order``; columns path, n_bytes.
+
+    A file's lines are streamed by one task, not collected.  Rows without a path are left out.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, sink, n, done = None, None, 0, []
         for batch in batches:
-            yield pd.DataFrame([_join_files(r.out, list(r.paths), kind, with_header) for r in batch.itertuples()], columns=["out", "n_inputs", "bytes_in", "bytes_out", "crc32"])
+            for to, text in zip(batch["_to"], batch["_line"], strict=True):
+                if to != at:
+                    if at is not None:
+                        done.append((at, n, sink.close()))
+                    files, name = fs.FileSystem.from_uri(to)
+                    at, n, sink = to, 0, files.open_output_stream(name)
+                data = ("" if text is None else text).encode() + b"\n"
+                sink.write(data)
+                n += len(data)
+            yield pd.DataFrame([x[:2] for x in done], columns=["path", "n_bytes"])
+            done = []
+        if at is not None:
+            sink.close()
+            yield pd.DataFrame([(at, n)], columns=["path", "n_bytes"])
 
-    rows = layout.where(F.col("path").isNotNull() & F.col("out").isNotNull()).groupBy("out").agg(F.sort_array(F.collect_list(F.struct("place", "path"))).alias("x"))
-    return rows.select("out", F.col("x.path").alias("paths")).mapInPandas(run, "out string, n_inputs long, bytes_in long, bytes_out long, crc32 long")
+    rows = df.where(F.col(path).isNotNull()).select(F.col(path).alias("_to"), F.col(line).alias("_line"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
+    by = ["_to", *[f"_o{i}" for i in range(len(order))]]
+    return rows.repartition("_to").sortWithinPartitions(*by).select("_to", "_line").mapInPandas(run, "path string, n_bytes long")

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesselkv.operators.changefeed import apply_changes
+from tesselkv.operators.changefeed import apply_changes, existing, merged_changes
 from tesselkv.operators.skew import Merged, late_rows, salted_aggregate
-from tesselkv.operators.smallfiles import merge_outputs, plan_merges
-from tesselkv.runtime import table
+from tesselkv.operators.smallfiles import concatenate, file_layout, merge_outputs, plan_merges, retire, write_lines
+from tesselkv.runtime import shared_path, table, written
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -40,6 +40,38 @@ def p3_plan(spark: SparkSession, d: str) -> DataFrame:
     return plan_merges(table(spark, d, "table_info"))
 
 
+def p3_joined(spark: SparkSession, d: str) -> DataFrame:
+    """The plan carried out: a file of lines per small table, its listings; joined, the inputs
+    deleted, and all lines read back from what is left.
+    """
+    plan, at = written(plan_merges(table(spark, d, "table_info")), "plan"), shared_path(spark, "small")
+    spark.createDataFrame([], "x string").write.text(at)  # the folder
+    to = F.concat(F.lit(f"{_uri(at)}/t"), F.col("table_id").cast("string"))
+    rows = table(spark, d, "table_info").join(plan.select("table_id"), "table_id", "left_semi")
+    line = F.to_json(F.struct("listing_id", "table_id", "on_disk_size"))
+    files = written(write_lines(rows.select(to.alias("to"), line.alias("line"), "listing_id"), "to", "line", ["listing_id"]), "files")
+    ids = files.withColumn("table_id", F.regexp_extract("path", r"/t(-?[0-9]+)$", 1).cast("int"))
+    layout = written(file_layout(plan, ids, f"{_uri(at)}/joined"), "layout")
+    report = written(concatenate(layout), "report")
+    retire(layout, report).agg(F.sum("n_deleted")).collect()
+    text = spark.read.option("recursiveFileLookup", "true").text(at)
+    return text.select(F.from_json("value", "listing_id bigint, table_id int, on_disk_size bigint").alias("r")).select("r.*")
+
+
+def _uri(at: str) -> str:
+    """A path of the shared folder for pyarrow, which asks for three slashes."""
+    return at if "://" in at else "file://" + at.removeprefix("file:")
+
+
+def p5_merged_in_parts(spark: SparkSession, d: str) -> DataFrame:
+    """The feed in three parts, out of order, each merged into the state the last one left."""
+    feed, state = table(spark, d, "manifest_changes"), None
+    part = F.pmod(F.xxhash64("feed_pos"), F.lit(3))
+    for i in (2, 0, 1):
+        state = merged_changes(state, feed.where(part == i), "table_id", "seq", "op", ["level"])
+    return existing(state, "op").select("table_id", "seq", "level")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     feed = table(spark, d, "manifest_changes")
     return apply_changes(None, feed, "table_id", "seq", "op", ["level"]).select("table_id", "level")
@@ -54,7 +86,7 @@ p AS (SELECT level, table_id, key_count, n_bytes,
   CAST(coalesce(sum(n_bytes) OVER (PARTITION BY level ORDER BY smallest NULLS FIRST, table_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS line_start FROM f)
 """
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_key_totals, p3_found, p3_plan, p3_outputs, p5_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_key_totals, p3_found, p3_plan, p3_outputs, p3_joined, p5_found, p5_merged_in_parts)}
 
 ORACLE = {
     "p1_found": """
@@ -68,6 +100,10 @@ SELECT hex(user_key) AS user_key, count(*) AS n_rows, max(version) AS max_versio
     "p3_outputs": _P3_PLAN
     + """SELECT level, line_start // 8388608 AS output, count(*) AS n_tables, CAST(sum(key_count) AS BIGINT) AS key_count,
   CAST(sum(n_bytes) AS BIGINT) AS n_bytes, true AS contiguous FROM p GROUP BY 1, 2""",
+    "p3_joined": _P3_PLAN + "SELECT listing_id, table_id, on_disk_size FROM table_info SEMI JOIN p USING (table_id)",
+    "p5_merged_in_parts": """
+SELECT table_id, seq, level FROM (SELECT *, row_number() OVER (PARTITION BY table_id ORDER BY seq DESC) AS r FROM manifest_changes)
+WHERE r = 1 AND upper(trim(op)) IN ('CREATE', '0')""",
     "p5_found": """
 SELECT table_id, level FROM (SELECT *, row_number() OVER (PARTITION BY table_id ORDER BY seq DESC) AS r FROM manifest_changes)
 WHERE r = 1 AND upper(trim(op)) IN ('CREATE', '0')""",

@@ -127,6 +127,14 @@ def _(s, d):
     return snapshot.neighbours(table(s, d, "kv_record")).select(_key(), F.hex("before").alias("before"), F.hex("after").alias("after"))
 
 
+@query(
+    "q12b_beside",
+    f"""SELECT hex(max(user_key) FILTER (WHERE user_key < '{HOT.decode()}'::BLOB)) AS before, hex(min(user_key) FILTER (WHERE user_key > '{HOT.decode()}'::BLOB)) AS after, hex(max(user_key)) AS last FROM kv_record""",
+)
+def _(s, d):
+    return snapshot.beside(table(s, d, "kv_record"), HOT).select(*[F.hex(c).alias(c) for c in ("before", "after", "last")])
+
+
 def _runs(s, d):
     """Three overlapping runs of the records, newest first."""
     r = A.records(s, d).select("arrival", *S.KV_COLUMNS)
@@ -218,6 +226,20 @@ def _(s, d):
     return retention.accumulate_discards(changes.limit(0).select("fid", F.col("n").alias("bytes")), changes)
 
 
+@query(
+    "q20c_discard_onto_stats",
+    """WITH c AS (SELECT CAST(fid AS BIGINT) AS fid, entry_pos, CASE WHEN entry_pos % 11 = 0 THEN -1 ELSE coalesce(greatest(value_len, 0), 0) END AS n FROM (SELECT DISTINCT fid, entry_pos, value_len FROM vlog_entry) WHERE fid % 2 = 0),
+  b AS (SELECT CAST(fid AS BIGINT) AS fid, CAST(1000 + fid AS BIGINT) AS bytes FROM (SELECT DISTINCT fid FROM vlog_entry)),
+  l AS (SELECT fid, max(entry_pos) AS last FROM c WHERE n < 0 GROUP BY fid)
+  SELECT b.fid, CAST(CASE WHEN l.last IS NULL THEN b.bytes ELSE 0 END + coalesce((SELECT sum(n) FROM c WHERE c.fid = b.fid AND (l.last IS NULL OR c.entry_pos > l.last)), 0) AS BIGINT) AS bytes FROM b LEFT JOIN l USING (fid)""",
+)
+def _(s, d):
+    log = table(s, d, "vlog_entry").select(F.col("fid").cast("bigint").alias("fid"), "entry_pos", "value_len").distinct()
+    n = F.when(F.col("entry_pos") % 11 == 0, -1).otherwise(F.coalesce(F.greatest("value_len", F.lit(0)), F.lit(0))).cast("bigint")
+    base = log.select("fid").distinct().withColumn("bytes", (1000 + F.col("fid")).cast("bigint"))
+    return retention.accumulate_discards(base, log.where("fid % 2 = 0").select("fid", "entry_pos", n.alias("n")), "entry_pos")
+
+
 @query("q21_stale_size", _retention_sql(3, True, (), "count(*) AS n_stale, CAST(coalesce(sum(octet_length(user_key) + coalesce(octet_length(value), 0) + 12), 0) AS BIGINT) AS stale_bytes FROM g WHERE stale"))
 def _(s, d):
     return retention.stale_size(_judged(s, d, keep=3, overlap=True))
@@ -271,7 +293,23 @@ def _(s, d):
     return levels.planned(s, t).select("level", "n_bytes", "n_tables")
 
 
-@query("q27_level_targets")
+@query(
+    "q27_level_targets",
+    f"""WITH {_TABLES}, z AS (SELECT CAST(l AS INT) AS level, CAST(coalesce(sum(greatest(on_disk_size, 0)), 0) AS BIGINT) AS n_bytes, count(table_id) AS n_tables
+    FROM range(6) r(l) LEFT JOIN tables ON tables.level = r.l GROUP BY l),
+  w AS (SELECT *, (SELECT n_bytes FROM z WHERE level = 5) // CAST(10 ** (5 - level) AS BIGINT) AS want FROM z),
+  t AS (SELECT *, CASE WHEN level = 0 THEN 0 ELSE greatest(want, 10485760) END AS target_size,
+    (SELECT coalesce(max(level), 0) FROM w WHERE level > 0 AND want <= 10485760) AS base0 FROM w),
+  f AS (SELECT *, CASE WHEN level = 0 THEN 67108864 ELSE 2097152 * CAST(2 ** greatest(0, level - base0) AS BIGINT) END AS file_size,
+    greatest(base0, (SELECT coalesce(min(level), 6) FROM t x WHERE x.n_bytes > 0 AND x.level >= x.base0) - 1) AS base1 FROM t),
+  g AS (SELECT *, base1 + CASE WHEN (SELECT bool_and(n_bytes = 0) FROM f x WHERE x.level = x.base1 AND x.base1 < 5)
+    AND (SELECT bool_and(n_bytes < target_size) FROM f x WHERE x.level = x.base1 + 1) THEN 1 ELSE 0 END AS base FROM f),
+  s AS (SELECT *, CASE WHEN level = 0 THEN n_tables / 5.0 ELSE n_bytes / target_size END AS score FROM g),
+  a AS (SELECT s.*, x.score AS below FROM s LEFT JOIN s x ON x.level = CASE WHEN s.level = 0 THEN s.base WHEN s.level >= s.base THEN s.level + 1 END)
+  SELECT level, n_bytes, n_tables, CAST(target_size AS BIGINT) AS target_size, CAST(file_size AS BIGINT) AS file_size, level = base AS is_base,
+    CASE WHEN level < 5 AND score >= 1 THEN CAST(score AS DOUBLE) END AS score,
+    CASE WHEN level < 5 AND score >= 1 THEN CAST(CASE WHEN below IS NULL THEN score ELSE score / greatest(below, 0.01) END AS DOUBLE) END AS adjusted FROM a""",
+)
 def _(s, d):
     t = A.current_tables(s, d).withColumn("on_disk_size", F.greatest("on_disk_size", F.lit(0)))
     return levels.planned(s, t)
@@ -351,7 +389,15 @@ def _(s, d):
     return txns.conflict_candidates(A.txn_reads(s, d), A.txn_writes(s, d))
 
 
-@query("q33_conflicts_resolved")
+@query(
+    "q33_conflicts_resolved",
+    f"""WITH RECURSIVE {_TXN}, t AS (SELECT o // 50 AS block, o % 50 AS place, list(DISTINCT r.key) FILTER (WHERE r.key IS NOT NULL) AS reads,
+    list(DISTINCT w.key) FILTER (WHERE w.key IS NOT NULL) AS writes FROM (SELECT DISTINCT l_orderkey AS o FROM lineitem) LEFT JOIN r ON r.txn_id = o LEFT JOIN w ON w.commit_ts = o + 1 GROUP BY o),
+  s AS (SELECT DISTINCT block, CAST(-1 AS BIGINT) AS place, CAST([] AS BIGINT[]) AS held, false AS refused FROM t
+    UNION ALL SELECT s.block, s.place + 1, CASE WHEN coalesce(list_has_any(held, reads), false) THEN held ELSE list_concat(held, coalesce(writes, [])) END, coalesce(list_has_any(held, reads), false)
+    FROM s LEFT JOIN t ON t.block = s.block AND t.place = s.place + 1 WHERE s.place < 49)
+  SELECT block * 50 + place AS txn_id, block * 50 + place + 1 AS commit_ts FROM s WHERE refused""",
+)
 def _(s, d):
     return txns.conflicts_resolved(A.txn_reads(s, d), A.txn_writes(s, d))
 
@@ -453,7 +499,16 @@ def _(s, d):
     return has.agg(F.count(F.lit(1)).alias("n_keys"), F.countDistinct("stream_id").alias("n_streams"), F.sum((~F.col("has")).cast("int")).cast("int").alias("missed"))
 
 
-@query("q43_bloom_hash")
+@query(
+    "q43_bloom_hash",
+    """WITH k AS (SELECT DISTINCT user_key, hex(user_key) AS x, octet_length(user_key) AS n FROM kv_record),
+  b AS (SELECT *, list_transform(range(0, n), lambda i: CAST(('0x' || substr(x, CAST(2 * i + 1 AS BIGINT), 2)) AS HUGEINT)) AS bytes FROM k),
+  w AS (SELECT *, list_prepend(xor(CAST(3164544308 AS HUGEINT), (n * CAST(3332679571 AS HUGEINT)) % 4294967296),
+    list_transform(range(0, n // 4), lambda i: bytes[4 * i + 1] + 256 * bytes[4 * i + 2] + 65536 * bytes[4 * i + 3] + 16777216 * bytes[4 * i + 4])) AS words FROM b),
+  h AS (SELECT *, list_reduce(words, lambda h, v: xor((h + v) * 3332679571 % 4294967296, ((h + v) * 3332679571 % 4294967296) // 65536)) AS h FROM w),
+  r AS (SELECT *, CASE n % 4 WHEN 0 THEN NULL WHEN 1 THEN bytes[n] WHEN 2 THEN bytes[n - 1] + 256 * bytes[n] ELSE bytes[n - 2] + 256 * bytes[n - 1] + 65536 * bytes[n] END AS rest FROM h)
+  SELECT x AS user_key, CAST(CASE WHEN rest IS NULL THEN h ELSE xor((h + rest) * 3332679571 % 4294967296, ((h + rest) * 3332679571 % 4294967296) // 16777216) END AS BIGINT) AS hash FROM r""",
+)
 def _(s, d):
     return table(s, d, "kv_record").select("user_key").distinct().select(_key(), sketches.bloom_hash_udf("user_key").alias("hash"))
 
@@ -465,6 +520,17 @@ def _(s, d):
     return checked.agg(F.count(F.lit(1)).alias("n"), F.sum(bad.cast("int")).cast("int").alias("n_corrupt"))
 
 
+@query("q44b_corrupt_found", f"WITH {KV} SELECT hex(user_key) AS user_key, version FROM kv WHERE value IS NOT NULL AND version % 97 = 0")
+def _(s, d):
+    """Values that get one more byte, or lose one, after their checksum was taken."""
+    checked = integrity.with_checksum(A.kv(s, d).where("value IS NOT NULL"), "value")
+    shorter = F.when(F.octet_length("value") > 1, F.expr("substring(value, 2, octet_length(value))"))
+    harmed = F.when(F.col("version") % 2 == 0, shorter)
+    harmed = F.coalesce(harmed, F.concat(F.col("value"), F.lit(bytearray(b"x")).cast("binary")))
+    spoilt = checked.withColumn("value", F.when(F.col("version") % 97 == 0, harmed).otherwise(F.col("value")))
+    return integrity.corrupt(spoilt, "value").select(_key(), "version")
+
+
 @query("q45_encrypt_roundtrip", f"WITH {KV} SELECT {SHOW} FROM kv")
 def _(s, d):
     key = F.lit(b"0123456789abcdef0123456789abcdef")
@@ -472,6 +538,28 @@ def _(s, d):
     return _shown(sealed.withColumn("value", integrity.decrypted(F.col("value"), key)))
 
 
+@query("q45b_encrypted_bytes", f"WITH {KV} SELECT count(*) AS n, 0 AS n_same, 28 * count(*) AS overhead FROM kv WHERE value IS NOT NULL")
+def _(s, d):
+    """Sealed values differ from plain ones and are longer by a nonce and a tag."""
+    key = F.lit(b"0123456789abcdef0123456789abcdef")
+    sealed = A.kv(s, d).where("value IS NOT NULL").withColumn("sealed", integrity.encrypted(F.col("value"), key))
+    more = F.octet_length("sealed") - F.octet_length("value")
+    same = F.expr("sealed = value OR (octet_length(value) > 8 AND contains(sealed, value))")
+    return sealed.agg(F.count(F.lit(1)).alias("n"), F.sum(same.cast("int")).cast("int").alias("n_same"), F.sum(more.cast("bigint")).alias("overhead"))
+
+
+@query("q46b_codecs_of_files", "SELECT * FROM (VALUES (0, 'UNCOMPRESSED'), (1, 'SNAPPY'), (2, 'ZSTD')) t(code, codec)")
+def _(s, d):
+    """What the footers of written files say of each codec."""
+    found = None
+    for code in (0, 1, 2):
+        at = shared_path(s, "codec")
+        integrity.written_with(A.kv(s, d), code, at, "user_key")
+        one = integrity.codecs_of(s, at).select(F.lit(code).alias("code"), "codec")
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
 for _code in (0, 1, 2):
 
     @query(f"q46_compression_roundtrip_{integrity.CODECS[_code]}", f"WITH {KV} SELECT {SHOW} FROM kv")

@@ -28,7 +28,7 @@ from tesselkv.operators import integrity, retention, snapshot, tables, values
 from tesselkv.operators.merge import merge_sources, overlay
 from tesselkv.plans import levels as L
 from tesselkv.store.config import Config
-from tesselkv.store.files import Files
+from tesselkv.files import Files
 from tesselkv.store.keyring import Keyring
 from tesselkv.store.lease import Lease
 from tesselkv.store.manifest import Manifest

@@ -6,14 +6,16 @@ import json
 import threading
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tesselkv import schema as S
 from tesselkv.errors import BadIgnoreRange
-from tesselkv.operators.changefeed import latest_changes
+from tesselkv.operators.changefeed import UPSERT, existing, latest_changes
+from tesselkv.files import Files
 
 
 def parse_ignore(text: str) -> list[bool]:
@@ -121,38 +123,60 @@ def subscribe(
 class StateTable:
     """The last change of every key, deletes included, kept current from a feed.
 
-    Each batch makes a new version of the table; ``current`` names the last one and
-    the batch it holds, so a batch that comes again is skipped.
+    A batch adds its own last changes as one more part; every ``MERGE_AT`` parts all are
+    merged into one, so a batch costs its own size and, spread over batches, a share of
+    the table.  A mark names the parts and the last batch, so a batch that comes again
+    is skipped.  Files of marks before the last merge but one are removed.
     """
 
+    MERGE_AT = 16
+
     def __init__(self, path: str, key: str, seq: str, op: str):
         self.path, self.key, self.seq, self.op = path, key, seq, op
 
-    def _current(self, spark) -> dict:
-        try:
-            rows = spark.read.text(f"{self.path}/current").collect()
-        except Exception as e:  # no version yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return {"batch": -1, "at": None}
-        return max((json.loads(r.value) for r in rows), key=lambda x: x["batch"])
+    def _marks(self, files: Files) -> list[str]:
+        return [n for n in files.names("marks") if n.endswith(".json")]
+
+    def _current(self, files: Files) -> dict:
+        names = self._marks(files)
+        return json.loads(files.read(f"marks/{names[-1]}")) if names else {"batch": -1, "parts": []}
+
+    def _rows(self, spark: SparkSession, files: Files, parts: Sequence[str]) -> DataFrame:
+        return reduce(DataFrame.unionByName, [spark.read.parquet(f"{files.root}/{p}") for p in parts])
 
     def apply(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        now = self._current(spark)
+        files = Files(spark, self.path)
+        now = self._current(files)
         if batch_id <= now["batch"]:
             return
+        files.make()
+        part = f"part-{batch_id:012}"
         last = latest_changes(batch, self.key, self.seq, self.op)
-        if now["at"]:
-            last = latest_changes(spark.read.schema(last.schema).parquet(now["at"]).unionByName(last), self.key, self.seq, self.op)
-        at = f"{self.path}/version-{batch_id}"
-        last.write.mode("overwrite").parquet(at)
-        mark = spark.createDataFrame([(json.dumps({"batch": batch_id, "at": at}),)], "value string")
-        mark.coalesce(1).write.mode("append").text(f"{self.path}/current")
-
-    def read(self, spark) -> DataFrame:
+        parts = [*now["parts"], part]
+        if len(parts) > self.MERGE_AT:
+            merged = self._rows(spark, files, now["parts"]).unionByName(last)
+            last, parts = latest_changes(merged, self.key, self.seq, self.op), [part]
+        last.write.mode("overwrite").parquet(f"{files.root}/{part}")
+        files.create(f"marks/{batch_id:012}.json", json.dumps({"batch": batch_id, "parts": parts}).encode())
+        if parts == [part]:
+            self._tidy(files)
+
+    def _tidy(self, files: Files) -> None:
+        """Readers of the mark before this one may still be reading; of older ones not."""
+        names = self._marks(files)
+        used = {p for n in names[-2:] for p in json.loads(files.read(f"marks/{n}"))["parts"]}
+        for n in names[:-2]:
+            files.delete(f"marks/{n}")
+        for n in files.names(""):
+            if n.startswith("part-") and n not in used:
+                files.delete(n)
+
+    def read(self, spark: SparkSession) -> DataFrame:
         """Rows that exist now."""
-        at = self._current(spark)["at"]
-        if at is None:
+        files = Files(spark, self.path)
+        parts = self._current(files)["parts"]
+        if not parts:
             raise ValueError("no batch was applied yet")
-        return spark.read.parquet(at).where(F.col(self.op) == "CREATE")
+        rows = self._rows(spark, files, parts)
+        return existing(latest_changes(rows, self.key, self.seq, self.op), self.op).withColumn(self.op, F.lit(UPSERT)).select(*rows.columns)

@@ -9,10 +9,9 @@ import __spark_entry__ as entry
 SMALL = "/root/testdata/sf0.001"
 
 
-def test_every_query_has_sql_or_a_reason():
+def test_every_query_has_sql():
     core = {k for k in entry.queries() if k.startswith("q") or k[:2] in ("p1", "p3", "p5")}
-    without = {"q27_level_targets", "q33_conflicts_resolved", "q43_bloom_hash"}
-    assert core - set(entry.oracle_sql()) == without  # tested against models instead
+    assert core <= set(entry.oracle_sql())
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 

@@ -148,3 +148,100 @@ def test_apply_changes(spark):
     more = spark.createDataFrame([(1, 4, "DELETE", None, ""), (6, 10, "DELETE", None, "")], FEED)
     assert {tuple(r) for r in cf.apply_changes(base, more, "table_id", "seq", "op", ["level"]).collect()} == {(1, 5, 2)}
     assert cf.apply_changes(None, feed.limit(0), "table_id", "seq", "op", ["level"]).collect() == []
+
+
+def late_fast(rows):
+    """Arrivals of late rows, each row once: equal arrivals do not precede each other."""
+    by, best, out = {}, {}, []
+    for a, k, v in rows:
+        by.setdefault(a, []).append((k, v))
+    for a in sorted(by):
+        out += [a for k, v in by[a] if best.get(k, v) > v]
+        for k, v in by[a]:
+            best[k] = max(v, best.get(k, v))
+    return out
+
+
+@pytest.mark.parametrize("kind", ["outlier", "burst", "many"])
+def test_slices_do_not_collapse(spark, kind):
+    r = random.Random(3)
+    n = 20_000
+    if kind == "many":  # many heavy keys, none more than a small part of the rows
+        rows = [(i, i % 500, i + r.randrange(-900, 900)) for i in range(n)]
+    else:
+        rows = [(i if kind == "outlier" else 10**12 + i // 2, 0 if r.random() < 0.6 else 1 + r.randrange(2000), i + r.randrange(-9, 9)) for i in range(n)]
+        rows += [(2**63 - 1, 0, 5), (-(2**63), 0, 5)] if kind == "outlier" else [(5, 0, 10**9)]
+    df = spark.createDataFrame([(a, bytearray(str(k).encode()), v, 1) for a, k, v in rows], ROWS)
+    heavy = 20 if kind == "many" else 1000
+    cut, any_heavy = skew.sliced(df, "user_key", "arrival", "slice", "part", ["version"], heavy)
+    assert any_heavy and cut.groupBy("user_key", "slice", "part").count().agg(F.max("count")).first()[0] <= 2 * heavy + 200
+    got = sorted(x.arrival for x in skew.late_rows(df, "user_key", "arrival", "version", heavy).collect())
+    assert got == late_fast(rows)
+
+
+def test_a_tie_of_a_third_of_all_rows_is_spread(spark):
+    rows = [(7 if i % 3 == 0 else i, 0, i) for i in range(9000)]
+    df = spark.createDataFrame([(a, bytearray(b"k"), v, 1) for a, _, v in rows], ROWS)
+    cut, _ = skew.sliced(df, "user_key", "arrival", "slice", "part", ["version"], 500)
+    assert cut.groupBy("slice", "part").count().agg(F.max("count")).first()[0] <= 1300
+    got = sorted(x.arrival for x in skew.late_rows(df, "user_key", "arrival", "version", 500).collect())
+    assert got == late_fast(rows)
+
+
+def test_threshold_follows_the_input(spark):
+    few = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"))
+    assert len(skew.heavy_hashes(few, ["k"])) == 1  # a third of all rows is heavy at any size above LEAST_ROWS
+    assert skew.heavy_hashes(few.limit(500), ["k"]) == []
+
+
+def test_outputs_of_one_plan_carried_out(spark, tmp_path):
+    files = [(i, put(tmp_path, f"t{i}", b"%d\n" % i * (i + 1)), None) for i in range(6)]
+    listing = [(i, i, 0 if i < 4 else None, bytes([i]), bytes([i]), i + 1, 2 * (i + 1), None) for i in range(5)] + [(9, 5, 3, b"x", b"y", 6, 12, None)]
+    plan = sf.plan_merges(spark.createDataFrame(listing, LISTING), target=1000)
+    known = spark.createDataFrame([(i, p, 2 * (i + 1)) for i, p, _ in files], "table_id int, path string, n_bytes bigint")
+    layout = sf.file_layout(plan, known, f"file://{tmp_path}/joined", ".txt")
+    assert {r.path.rpartition("/")[2] for r in layout.collect()} == {"t0", "t1", "t2", "t3"}  # single ones stay
+    report = spark.createDataFrame(sf.concatenate(layout).collect())
+    assert [(r.n_inputs, r.n_lines, r.bytes_in) for r in report.collect()] == [(4, 10, 20)]
+    assert (tmp_path / "joined/0/0.txt").read_bytes() == b"".join(b"%d\n" % i * (i + 1) for i in range(4))
+    short = report.withColumn("n_inputs", F.lit(3).cast("bigint"))
+    assert sf.retire(layout, short).collect() == [] and (tmp_path / "t0").exists()
+    assert [tuple(r) for r in sf.retire(layout, report).collect()] == [(f"file://{tmp_path}/joined/0/0.txt", 4)]
+    assert not (tmp_path / "t0").exists() and (tmp_path / "t4").exists()
+    wrong = known.withColumn("n_bytes", F.col("n_bytes") + 1).where("table_id < 4")
+    for i in range(4):
+        put(tmp_path, f"t{i}", b"%d\n" % i * (i + 1))
+    with pytest.raises(Exception, match="were planned"):
+        sf.concatenate(sf.file_layout(plan.where("level = 0"), wrong, f"file://{tmp_path}/again")).collect()
+    assert not (tmp_path / "again/0/0").exists()
+    with pytest.raises(Exception, match="no file of table"):
+        sf.file_layout(plan.where("level = 0"), known.limit(1), f"file://{tmp_path}/again").collect()
+
+
+def test_long_pieces(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sf, "CHUNK", 7)
+    big = zstandard.ZstdCompressor(write_checksum=True).compress(random.Random(1).randbytes(1000))
+    made = sf._Output(f"file://{tmp_path}/o", "zstd", False)
+    for i in range(2):
+        made.add(put(tmp_path, f"b{i}", big), len(big))
+    assert made.close()["bytes_out"] == 2 * len(big) and (tmp_path / "o").read_bytes() == big * 2
+    one, two = (sf._Output(f"file://{tmp_path}/l", "lines", True) for _ in range(2))  # two attempts at once
+    for o in (one, two):
+        o.add(put(tmp_path, "l0", b"a long header line\n" + b"x" * 30), None)
+        o.add(put(tmp_path, "l1", b"a long header line\ny"), None)
+    one.close()
+    assert two.close()["n_lines"] == 2 and (tmp_path / "l").read_bytes() == b"a long header line\n" + b"x" * 30 + b"\ny\n"
+    assert [p.name for p in tmp_path.iterdir() if p.name.startswith(".")] == []
+
+
+def test_late_changes_find_deletes(spark):
+    feed = spark.createDataFrame([(1, 10, "DELETE", None, ""), (2, 4, "CREATE", 3, "")], FEED)
+    late = spark.createDataFrame([(1, 5, "CREATE", 2, ""), (2, 3, "DELETE", None, ""), (2, 4, " 0", 3, ""), (2, 4, "create", 1, "")], FEED)
+    args = ("table_id", "seq", "op", ["level"])
+    for parts in ((feed, late), (late, feed), (feed, late, feed)):
+        state = None
+        for p in parts:
+            state = cf.merged_changes(state, p, *args)
+        assert {tuple(r) for r in cf.existing(state, "op").collect()} == {(2, 4, 3)}  # copies that differ: the greatest
+    held = cf.merged_changes(None, feed, *args)
+    assert {tuple(r) for r in cf.apply_changes(held, late, *args).collect()} == {(2, 4, 3)}
