@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tesselkv.llm import packing, seen, subjects, tokenize
 from tesselkv.llm import percentiles as pc
-from tesselkv.runtime import table
+from tesselkv.runtime import shared_path, table
 
 PCTS = (50, 90, 99)
 
@@ -24,6 +24,16 @@ def p2_error_rate(spark: SparkSession, d: str) -> DataFrame:
     return seen.error_rate(history, incoming, "user_key", "incoming_id")
 
 
+def p2_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Two successive batches, asked and added to chains that are kept."""
+    history = table(spark, d, "kv_record").select("user_key")
+    incoming = table(spark, d, "kv_incoming").select("incoming_id", "user_key")
+    store = seen.SeenStore(spark, shared_path(spark, "chains"))
+    store.add(history, "user_key")
+    halves = [incoming.where(F.col("incoming_id") % 2 == i) for i in (0, 1)]
+    return seen.batch_reports(history, halves, "user_key", "incoming_id", store).select("batch", "asked", "new_keys", "within")
+
+
 def _p4_percentiles(spark: SparkSession, d: str, exact: bool = True) -> DataFrame:
     """``exact`` keeps numbers of more than 38 digits as they are, as ``wide`` numbers."""
     # Copies of an entry or a record are equal in what is taken here; where they are
@@ -94,12 +104,16 @@ q AS (SELECT src, grp, pct, max(n) AS n, min(x) FILTER (WHERE r >= (n * pct + 99
   FROM r, (VALUES (50), (90), (99)) AS p(pct) GROUP BY src, grp, pct)
 """
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_error_rate, p4_found, p4_percentiles, p6_ids, p7_packed, p7_use, p8_found, p8_mix)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_error_rate, p2_batches, p4_found, p4_percentiles, p6_ids, p7_packed, p7_use, p8_found, p8_mix)}
 
 ORACLE = {
     "p2_found": """
 SELECT incoming_id FROM (SELECT incoming_id, user_key, min(incoming_id) OVER (PARTITION BY user_key) AS first_id FROM kv_incoming WHERE octet_length(user_key) > 0) i
 WHERE incoming_id > first_id OR EXISTS (SELECT 1 FROM kv_record k WHERE k.user_key = i.user_key)""",
+    "p2_batches": """
+WITH i AS (SELECT DISTINCT user_key, incoming_id % 2 AS batch FROM kv_incoming WHERE octet_length(user_key) > 0)
+SELECT CAST(batch AS INT) AS batch, count(*) AS asked, count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM kv_record k WHERE k.user_key = i.user_key)
+  AND NOT (batch = 1 AND EXISTS (SELECT 1 FROM i j WHERE j.batch = 0 AND j.user_key = i.user_key))) AS new_keys, true AS within FROM i GROUP BY batch""",
     "p4_found": _P4 + "SELECT src, grp, pct FROM q WHERE nearest >= 4096",
     "p4_percentiles": _P4
     + """SELECT src, grp, pct, n, CAST(nearest AS VARCHAR) AS nearest,
