@@ -1,16 +1,20 @@
 """Token ids of whole corpora by a public byte-level BPE vocabulary.
 
 Words (the pieces a text is split into before merging) never merge with each other,
-so each distinct word is encoded once.  All new words of a block of documents are
-laid in one row of symbols; an inverted index leads from a pair of neighbouring
-symbols to its places, and the merges are replayed over all words in rank order,
-each touching only its places and their neighbours.
+and none crosses from a mark to white space, so a text is cut into segments (white
+space and what follows up to the next) and each distinct segment is encoded once.
+All new words of a block of documents are laid in one row of symbols; an inverted
+index leads from a pair of neighbouring symbols to its places, and the merges are
+replayed over all words in rank order, each touching only its places and their
+neighbours.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
+import os
+import re
 from collections.abc import Iterator, Sequence
 from itertools import chain
 
@@ -22,6 +26,9 @@ from pyspark.sql import DataFrame
 TOKENIZERS = "/opt/tokenizers"
 #: Fixed value: the public word pattern of byte_bpe_50k.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+# The word pattern's white space is that of the standard library but for four separators.
+_SPACE = r"[^\S\x1c-\x1f]"
+SEGMENT = re.compile(rf"{_SPACE}*[\S\x1c-\x1f]+|{_SPACE}+")
 #: A worker forgets its words when it holds this many bytes of them.
 CACHE_BYTES = 32 << 20
 BLOCK_CHARS = 4 << 20
@@ -36,6 +43,7 @@ class MergeReplay:
         self.single = [ranks[bytes([i])] for i in range(256)]
         self.pairs: dict[tuple[int, int], int | None] = {}
         self.words: dict[str, tuple[int, ...]] = {}
+        self.segments: dict[str, tuple[int, ...]] = {}
         self.held = 0
         self.split = regex.compile(PATTERN).findall
 
@@ -102,16 +110,78 @@ class MergeReplay:
 
     def encode(self, texts: Sequence[str | None]) -> Iterator[list[int]]:
         """Ids of each text, in order; null and empty texts have none."""
+        for cut in self._cut(texts):
+            find = self.segments.__getitem__
+            for segments in cut:
+                yield list(chain.from_iterable(map(find, segments)))
+
+    def count(self, texts: Sequence[str | None]) -> Iterator[int]:
+        """The number of ids of each text."""
+        for cut in self._cut(texts):
+            sizes = {x: len(self.segments[x]) for xs in cut for x in xs}
+            find = sizes.__getitem__
+            for segments in cut:
+                yield sum(map(find, segments))
+
+    def _cut(self, texts: Sequence[str | None]) -> Iterator[list[list[str]]]:
+        """The segments of each text, a block of texts at a time, all of them encoded."""
         for block in blocks(texts):
-            split = [self.split(t) if t else [] for t in block]
-            new = list(dict.fromkeys(w for ws in split for w in ws if w not in self.words))
-            self.words.update(zip(new, self.replay(new), strict=True))
-            self.held += sum(100 + 9 * len(w) for w in new)
+            cut = [SEGMENT.findall(t) if t else [] for t in block]
+            new = [x for x in dict.fromkeys(x for xs in cut for x in xs) if x not in self.segments]
+            split = [self.split(x) for x in new]
+            words = [w for w in dict.fromkeys(w for ws in split for w in ws) if w not in self.words]
+            self.words.update(zip(words, self.replay(words), strict=True))
+            self.held += sum(100 + 9 * len(w) for w in words) + sum(100 + 9 * len(x) for x in new)
             find = self.words.__getitem__
-            for ws in split:
-                yield list(chain.from_iterable(map(find, ws)))
+            self.segments.update((x, tuple(chain.from_iterable(map(find, ws)))) for x, ws in zip(new, split, strict=True))
+            yield cut
             if self.held > CACHE_BYTES:
-                self.words, self.held = {}, 0
+                self.words, self.segments, self.held = {}, {}, 0
+
+
+class PieceCounter:
+    """Counts the pieces of a sentencepiece model.
+
+    Where no piece of the model has a space mark after another character, and its
+    normalisation only marks spaces, no piece reaches from one word into the next:
+    then each distinct word (with the spaces before it) is encoded once.  Other
+    models encode whole texts.
+    """
+
+    MARK = "\u2581"
+
+    def __init__(self, path: str):
+        import sentencepiece
+
+        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+        m, mark = self.model, self.MARK
+        crossing = re.compile(f"[^{mark}]{mark}")
+        whole = any(crossing.search(m.id_to_piece(i)) for i in range(m.get_piece_size()))
+        plain = all(m.normalize(x) == mark + x.replace(" ", mark) for x in ("  a  b ", "\ufb01\u2460\n\tA", "e\u0301"))
+        self.by_word = plain and not whole
+        self.sizes: dict[str, int] = {}
+        self.held = 0
+
+    def count(self, texts: Sequence[str | None]) -> Iterator[int]:
+        for block in blocks(texts):
+            if not self.by_word:
+                yield from (len(x) for x in self.model.encode([t or "" for t in block], num_threads=1))
+                continue
+            cut = [self._words(t) if t else [] for t in block]
+            new = [x for x in dict.fromkeys(x for xs in cut for x in xs) if x not in self.sizes]
+            # A model marks the start of what it is given as it marks a space.
+            made = self.model.encode([x[1:] for x in new], num_threads=1)
+            self.sizes.update((x, len(ids) if len(x) > 1 else 1) for x, ids in zip(new, made, strict=True))
+            self.held += sum(100 + 2 * len(x) for x in new)
+            find = self.sizes.__getitem__
+            yield from (sum(map(find, xs)) for xs in cut)
+            if self.held > CACHE_BYTES:
+                self.sizes, self.held = {}, 0
+
+    _word = re.compile(" +[^ ]*")
+
+    def _words(self, text: str) -> list[str]:
+        return self._word.findall(" " + text.replace(self.MARK, " "))
 
 
 def blocks(texts: Sequence[str | None]) -> Iterator[list[str | None]]:
@@ -183,19 +253,14 @@ _counters: dict[tuple[str, str], object] = {}
 
 
 def _counter(folder: str, name: str):
-    import os
-
+    """How many tokens each of some texts has, by the file of this name; kept by the worker."""
     if (folder, name) in _counters:
         return _counters[folder, name]
     at = os.path.join(folder, name)
     if os.path.exists(f"{at}.tiktoken"):
-        own = encoder(f"{at}.tiktoken")
-        count = lambda texts: map(len, own.encode(texts))
+        count = encoder(f"{at}.tiktoken").count
     elif os.path.exists(f"{at}.model"):
-        import sentencepiece
-
-        model = sentencepiece.SentencePieceProcessor(model_file=f"{at}.model")
-        count = lambda texts: (len(x) for b in blocks(texts) for x in model.encode(b, num_threads=1))
+        count = PieceCounter(f"{at}.model").count
     elif os.path.exists(f"{at}.json"):
         import tokenizers
 
@@ -203,6 +268,6 @@ def _counter(folder: str, name: str):
         model.encode_special_tokens = True
         count = lambda texts: (len(x.ids) for b in blocks(texts) for x in model.encode_batch(b, add_special_tokens=False))
     else:
-        raise ValueError(f"no vocabulary {name} in {folder}")
+        raise ValueError(f"no vocabulary {name} in {folder}; every worker needs the folder at this path")
     _counters[folder, name] = count
     return count

@@ -301,3 +301,62 @@ def test_queries_run(spark):
     assert set(ORACLE) <= set(QUERIES)
     packed = QUERIES["p7_use"](spark, DATA).collect()
     assert len(packed) == 3 and all(r.no_gaps and r.fits and r.share_used > 0.95 for r in packed)
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k", "piece_bpe_32k"])
+def test_counts_equal_the_libraries(name):
+    import pyarrow.parquet as pq
+    import sentencepiece
+
+    texts = [t for t in pq.read_table(f"{DATA}/documents.parquet", columns=["text"]).column(0).to_pylist() if t]
+    r = random.Random(2)
+    marks = [" ", "  ", "\u2581", "a", "Zeit", "\n", "\t", "\x1c", "\u00a0", "\u3000", "!?", "<s>", "\u0301", "\U0001f600", "12", "\ufb01", "'s"]
+    texts += ["".join(r.choice(marks) for _ in range(r.randrange(1, 12))) for _ in range(3000)] + [" ", "\u2581", " " * 40, "x" * 5000]
+    got = list(tokenize._counter(tokenize.TOKENIZERS, name)(texts))
+    if name == "piece_bpe_32k":
+        model = sentencepiece.SentencePieceProcessor(model_file=f"{tokenize.TOKENIZERS}/{name}.model")
+        assert tokenize.PieceCounter(f"{tokenize.TOKENIZERS}/{name}.model").by_word
+        assert got == [len(model.encode(t)) for t in texts]
+    else:
+        import tiktoken
+
+        own = tokenize.encoder(VOCABULARY)
+        other = tiktoken.Encoding("x", pat_str=tokenize.PATTERN, mergeable_ranks=own.ranks, special_tokens={})
+        assert got == [len(other.encode_ordinary(t)) for t in texts]
+        assert list(own.encode(texts)) == [other.encode_ordinary(t) for t in texts]
+
+
+def test_chains_are_kept(spark, tmp_path):
+    r = np.random.default_rng(2)
+    chain = seen.Chain(0.01, first=100)
+    own = r.integers(0, 2**64, 5000, np.uint64)
+    chain.add(own)
+    again = seen.Chain.load(chain.dump())
+    assert again.dump() == chain.dump() and again.has(own).all() and again.compounded() == chain.compounded()
+    more = r.integers(0, 2**64, 500, np.uint64)
+    again.add(more)
+    chain.add(more)
+    assert again.dump() == chain.dump()
+    path = f"file://{tmp_path}/seen"
+    store = seen.SeenStore(spark, path, first_layer=64, shards=3)
+    batches = [keys(spark, [(i, b"%d" % (i + 700 * n)) for i in range(1000)] + [(None, b"x"), (1, None), (2, b"")]) for n in range(3)]
+    asked = seen.first_rows(batches[0], "user_key", "incoming_id")
+    assert store.ask(asked).where("maybe").count() == 0
+    for n, b in enumerate(batches):
+        store = seen.SeenStore(spark, path, **({} if n else {"first_layer": 64, "shards": 3}))  # as another application would open it
+        assert store.state["version"] == n and store.state["shards"] == 3
+        answers = store.ask(seen.first_rows(b, "user_key", "incoming_id"))
+        assert answers.where("maybe").count() in (range(300, 310) if n else [0])
+        store.add(b, "user_key")
+    assert len([x for x in store.files.names("") if x.startswith("chains-")]) == 2
+    reports = seen.batch_reports(batches[0], batches[1:], "user_key", "incoming_id", seen.SeenStore(spark, f"file://{tmp_path}/other"))
+    first, second = reports.orderBy("batch").collect()
+    assert (first.asked, first.new_keys) == (1000, 700)
+    assert second.new_keys == 700 and second.rate <= 0.01
+
+
+def test_maybe_keys_beyond_a_broadcast(spark, monkeypatch):
+    old, new = keys(spark, [(i, b"k%d" % i) for i in range(400)]), keys(spark, [(i, b"k%d" % (2 * i)) for i in range(400)])
+    want = sorted(x.incoming_id for x in seen.seen_before(old, new, "user_key", "incoming_id").collect())
+    monkeypatch.setattr(seen, "BROADCAST_KEYS", 10)
+    assert sorted(x.incoming_id for x in seen.seen_before(old, new, "user_key", "incoming_id").collect()) == want == list(range(200))
