@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,7 +36,9 @@ def percentiles(counts: DataFrame, group: Sequence[str], number: str, pcts: Sequ
 
     ``nearest`` is the smallest number that at least ``pct`` % of the group do not
     exceed.  ``between`` interpolates linearly between the two order statistics
-    around place (n-1)*pct/100.  ``counts`` is what ``partial_counts`` gives.  Ties
+    around place (n-1)*pct/100, as a double; ``low``, ``high`` and ``part`` (hundredths of the
+    way between them) are what ``exactly_between`` needs to do so in whole numbers of
+    any length.  ``counts`` is what ``partial_counts`` gives.  Ties
     are one row there, so a number that fills a third of a group is no burden.
     A group without numbers has no row; a null group is a group.  ``number`` may be of
     any type that sorts, if ``as_double`` is given.
@@ -50,7 +53,7 @@ def percentiles(counts: DataFrame, group: Sequence[str], number: str, pcts: Sequ
         F.array(F.lit("nearest"), F.lit("low"), F.lit("high")),
         F.array(F.expr("greatest((total * pct + 99) div 100, 1)"), low + 1, F.least(low + 2, F.col("total"))),
     )
-    wanted = total.select(*group, "total", pct).select(*group, "total", "pct", (place % 100 / 100.0).alias("share"), F.explode(ranks).alias("what", "rank"))
+    wanted = total.select(*group, "total", pct).select(*group, "total", "pct", (place % 100).cast("int").alias("share"), F.explode(ranks).alias("what", "rank"))
 
     def same(a: DataFrame, b: DataFrame) -> Column:
         return reduce(lambda x, y: x & y, [a[g].eqNullSafe(b[g]) for g in group])
@@ -69,8 +72,24 @@ def percentiles(counts: DataFrame, group: Sequence[str], number: str, pcts: Sequ
     pick = lambda what: F.max(F.when(F.col("what") == what, F.col(number)))
     found = hit.groupBy(*group, "pct").agg(F.first("total").alias("n"), F.first("share").alias("share"), pick("nearest").alias("nearest"), pick("low").alias("low"), pick("high").alias("high"))
     low, high = as_double(F.col("low")), as_double(F.col("high"))
-    between = F.when(low == high, low).otherwise(low + (high - low) * F.col("share"))  # equal ones may be infinite
-    return found.select(*group, "pct", "n", "nearest", between.alias("between"))
+    between = F.when(low == high, low).otherwise(low + (high - low) * (F.col("share") / 100.0))  # equal ones may be infinite
+    return found.select(*group, "pct", "n", "nearest", between.alias("between"), "low", "high", F.col("share").alias("part"))
+
+
+@F.pandas_udf("string")
+def exactly_between(low: pd.Series, high: pd.Series, part: pd.Series) -> pd.Series:
+    """``low`` and ``part`` hundredths of the way to ``high``: whole numbers as text, the result with two decimals.
+
+    For results of ``percentiles``, a few rows a group; null if any is null.
+    """
+
+    def one(a: str | None, b: str | None, p: float) -> str | None:
+        if a is None or b is None or pd.isna(p):
+            return None
+        n = int(a) * 100 + (int(b) - int(a)) * int(p)
+        return f"{'-' if n < 0 else ''}{abs(n) // 100}.{abs(n) % 100:02}"
+
+    return pd.Series([one(*x) for x in zip(low, high, part, strict=True)], dtype=object)
 
 
 def whole_number(text: Column) -> Column:

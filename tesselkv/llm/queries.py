@@ -63,6 +63,13 @@ def p4_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return p.select("src", "grp", "pct", "n", pc.wide_text(F.col("nearest")).alias("nearest"), F.round("between", 3).alias("between"))
 
 
+def p4_between(spark: SparkSession, d: str) -> DataFrame:
+    """Interpolated percentiles in whole numbers, no double in between."""
+    p = _p4_percentiles(spark, d)
+    exact = pc.exactly_between(pc.wide_text(F.col("low")), pc.wide_text(F.col("high")), F.col("part"))
+    return p.select("src", "grp", "pct", exact.alias("between"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenize.encode(table(spark, d, "documents"), "doc_id", "text")
 
@@ -104,7 +111,7 @@ q AS (SELECT src, grp, pct, max(n) AS n, min(x) FILTER (WHERE r >= (n * pct + 99
   FROM r, (VALUES (50), (90), (99)) AS p(pct) GROUP BY src, grp, pct)
 """
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_error_rate, p2_batches, p4_found, p4_percentiles, p6_ids, p7_packed, p7_use, p8_found, p8_mix)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_error_rate, p2_batches, p4_found, p4_percentiles, p4_between, p6_ids, p7_packed, p7_use, p8_found, p8_mix)}
 
 ORACLE = {
     "p2_found": """
@@ -115,6 +122,9 @@ WITH i AS (SELECT DISTINCT user_key, incoming_id % 2 AS batch FROM kv_incoming W
 SELECT CAST(batch AS INT) AS batch, count(*) AS asked, count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM kv_record k WHERE k.user_key = i.user_key)
   AND NOT (batch = 1 AND EXISTS (SELECT 1 FROM i j WHERE j.batch = 0 AND j.user_key = i.user_key))) AS new_keys, true AS within FROM i GROUP BY batch""",
     "p4_found": _P4 + "SELECT src, grp, pct FROM q WHERE nearest >= 4096",
+    "p4_between": _P4
+    + """, v AS (SELECT src, grp, pct, lo * 100 + (hi - lo) * ((n - 1) * pct % 100) AS v FROM q)
+SELECT src, grp, pct, CAST(v // 100 AS VARCHAR) || '.' || lpad(CAST(v % 100 AS VARCHAR), 2, '0') AS between FROM v""",
     "p4_percentiles": _P4
     + """SELECT src, grp, pct, n, CAST(nearest AS VARCHAR) AS nearest,
   round(CAST(lo AS DOUBLE) + (CAST(hi AS DOUBLE) - CAST(lo AS DOUBLE)) * (((n - 1) * pct % 100) / 100.0), 3) AS between FROM q""",

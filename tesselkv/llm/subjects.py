@@ -294,7 +294,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, areas: DataFrame, trainin
     said = labels.select("doc_id", F.lower(F.trim("subject")).alias("s")).where(F.col("s").isin(list(plain)) & F.col("doc_id").isNotNull())
     few = said.groupBy("doc_id").agg(F.collect_set("s").alias("s")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(training_posts)
     rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(few), "doc_id").collect()
-    rows.sort(key=lambda r: (hash(r.doc_id), r.doc_id))
+    rows.sort(key=lambda r: r.doc_id)
     return SubjectClassifier(names).fit([r.text for r in rows], [{plain[x] for x in r.s} for r in rows])
 
 

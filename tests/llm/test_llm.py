@@ -349,7 +349,9 @@ def test_chains_are_kept(spark, tmp_path):
         assert answers.where("maybe").count() in (range(300, 310) if n else [0])
         store.add(b, "user_key")
     assert len([x for x in store.files.names("") if x.startswith("chains-")]) == 2
-    reports = seen.batch_reports(batches[0], batches[1:], "user_key", "incoming_id", seen.SeenStore(spark, f"file://{tmp_path}/other"))
+    other = seen.SeenStore(spark, f"file://{tmp_path}/other")
+    other.add(batches[0], "user_key")
+    reports = seen.batch_reports(batches[0], batches[1:], "user_key", "incoming_id", other)
     first, second = reports.orderBy("batch").collect()
     assert (first.asked, first.new_keys) == (1000, 700)
     assert second.new_keys == 700 and second.rate <= 0.01
@@ -360,3 +362,18 @@ def test_maybe_keys_beyond_a_broadcast(spark, monkeypatch):
     want = sorted(x.incoming_id for x in seen.seen_before(old, new, "user_key", "incoming_id").collect())
     monkeypatch.setattr(seen, "BROADCAST_KEYS", 10)
     assert sorted(x.incoming_id for x in seen.seen_before(old, new, "user_key", "incoming_id").collect()) == want == list(range(200))
+
+
+def test_between_is_exact(spark):
+    big = 10**60
+    rows = [("a", str(x)) for x in (3, 10, big + 7)] + [("b", "2"), (None, "5"), (None, "6")]
+    df = spark.createDataFrame(rows, "g string, t string")
+    df = df.withColumn("x", pc.wide(pc.whole_number(F.col("t")), F.col("t")))
+    p = pc.percentiles(pc.partial_counts(df, ["g"], "x"), ["g"], "x", [50, 99], pc.wide_double)
+    got = {(r.g, r.pct): r.e for r in p.select("g", "pct", pc.exactly_between(pc.wide_text(F.col("low")), pc.wide_text(F.col("high")), F.col("part")).alias("e")).collect()}
+    assert got["a", 50] == "10.00" and got["b", 99] == "2.00" and got[None, 50] == "5.50"
+    low, high = 10, big + 7  # place 1.98
+    hundredths = low * 100 + (high - low) * 98
+    assert got["a", 99] == f"{hundredths // 100}.{hundredths % 100:02}"
+    none = spark.createDataFrame([(None, "1", 3)], "low string, high string, part int")
+    assert none.select(pc.exactly_between("low", "high", "part").alias("e")).first().e is None
