@@ -14,6 +14,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tesselkv.operators.ordered import run_offsets, sorted_runs
 
@@ -76,7 +77,7 @@ def percentiles(counts: DataFrame, group: Sequence[str], number: str, pcts: Sequ
     return found.select(*group, "pct", "n", "nearest", between.alias("between"), "low", "high", F.col("share").alias("part"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def exactly_between(low: pd.Series, high: pd.Series, part: pd.Series) -> pd.Series:
     """``low`` and ``part`` hundredths of the way to ``high``: whole numbers as text, the result with two decimals.
 
