@@ -61,6 +61,33 @@ def bloom_hash(data: bytes) -> int:
     return h
 
 
+def bloom_hashes(keys: Sequence[bytes]) -> np.ndarray:
+    """``bloom_hash`` of each key: keys of one length are hashed together, four bytes at a step."""
+    out = np.zeros(len(keys), np.int64)
+    sizes = np.fromiter(map(len, keys), np.int64, len(keys))
+    order = np.argsort(sizes, kind="stable")
+    ends = [*(1 + np.flatnonzero(np.diff(sizes[order]))), len(keys)]
+    multiplier, low = np.uint64(BLOOM_MULTIPLIER), np.uint64(_LOW)
+    for start, end in zip([0, *ends[:-1]], ends, strict=True):
+        at = order[start:end]
+        if not len(at):
+            continue
+        n = int(sizes[at[0]])
+        table = np.frombuffer(b"".join([keys[i] for i in at]), np.uint8).reshape(len(at), n)
+        h = np.full(len(at), (BLOOM_SEED ^ (n * BLOOM_MULTIPLIER)) & _LOW, np.uint64)
+        whole = n & ~3
+        words = np.ascontiguousarray(table[:, :whole]).view("<u4").astype(np.uint64)
+        for i in range(whole // 4):
+            h = (h + words[:, i]) * multiplier & low
+            h ^= h >> np.uint64(16)
+        if n > whole:
+            rest = sum(table[:, whole + i].astype(np.uint64) << np.uint64(8 * i) for i in range(n - whole))
+            h = (h + rest) * multiplier & low
+            h ^= h >> np.uint64(BLOOM_SHIFT)
+        out[at] = h.astype(np.int64)
+    return out
+
+
 def bits_per_key(error: float) -> int:
     return math.ceil(-math.log2(error))
 
@@ -97,7 +124,10 @@ def _probes(h: np.ndarray, k: int, n_bits: int):
 @pandas_udf(T.LongType())
 def bloom_hash_udf(keys: pd.Series) -> pd.Series:
     """``bloom_hash`` of a binary column; null for null."""
-    return keys.map(lambda k: None if k is None else bloom_hash(bytes(k))).astype("Int64")
+    there = keys.notna().to_numpy()
+    out = pd.Series(pd.NA, index=keys.index, dtype="Int64")
+    out[there] = bloom_hashes([bytes(k) for k in keys[there]])
+    return out
 
 
 def bloom_filters(df: DataFrame, group: Sequence[str], key: str, error: float = 0.01) -> DataFrame:

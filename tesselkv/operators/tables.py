@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tesselkv.operators.changefeed import DELETE, UPSERT, plain_op
 from tesselkv.operators.merge import differences
 from tesselkv.operators.ordered import running
-from tesselkv.runtime import fresh
+from tesselkv.operators.skew import unique_join
+from tesselkv.runtime import fresh, settled
 
 
 def table_stats(kv: DataFrame, file: list[str]) -> DataFrame:
@@ -122,11 +123,13 @@ def prefix_overlap(keys: DataFrame, block: list[str], key: str = "user_key") ->
     """Keys with ``shared``: bytes in common with the first key of their block.
 
     Compared a byte at a time from the front, within the built-in functions: hex
-    digits are XORed away by position and the first difference ends the prefix.
+    digits are compared by position and the first difference ends the prefix.  A block
+    that holds a great part of the keys is spread.  Keys with a null block have none.
     """
-    (first,) = fresh(keys, "first")
-    firsts = keys.where(F.col(key).isNotNull()).groupBy(*block).agg(F.min(key).alias(first))
-    both = keys.where(F.col(key).isNotNull()).join(firsts, block)
+    first, id_ = fresh(keys, "first", "block_id")
+    rows = settled(keys.where(F.col(key).isNotNull()), "keys").withColumn(id_, F.struct(*[F.col(c) for c in block]))
+    firsts = rows.groupBy(id_).agg(F.min(key).alias(first))
+    both = unique_join(rows, firsts, id_, key).drop(id_)
     a, b = F.hex(F.col(first)), F.hex(F.col(key))
     short = F.least(F.octet_length(first), F.octet_length(key))
     places = F.when(short > 0, F.sequence(F.lit(1), short)).otherwise(F.array().cast("array<int>"))

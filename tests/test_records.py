@@ -304,3 +304,10 @@ def test_extra_columns_that_clash(spark):
     assert log.count() == 3 and got[0].version == 3 and got[0].n == "mine n"
     for df in (judged, apart, snapshot.snapshot(wide, 0), merge.merge_sources([wide, wide])):
         assert all(r[c] == f"mine {c}" for r in df.collect() for c in extra)
+
+
+def test_bloom_hashes_together():
+    r = random.Random(6)
+    made = [r.randbytes(r.randrange(0, 40)) for _ in range(500)] + [b"", b"\xff" * 9]
+    assert sketches.bloom_hashes(made).tolist() == [sketches.bloom_hash(k) for k in made]
+    assert sketches.bloom_hashes([]).tolist() == []

@@ -534,3 +534,22 @@ def test_registered_at_run_time(store, tmp_path):
     finally:
         q.stop()
     assert seen == [(number, b"a2")]
+
+
+def test_a_bad_entry_of_the_keyring_is_left_out(spark, tmp_path):
+    clock, root = [1000], f"file://{tmp_path}/s"
+    config = Config(encryption_key=b"0123456789abcdef", key_rotation=10)
+    with Store(spark, root, config, now=lambda: clock[0]) as s:
+        s.update(lambda t: t.set(b"a", b"1"))
+        clock[0] += 20
+        s.update(lambda t: t.set(b"b", b"2"))
+        name = f"keys/{s.files.names('keys')[-1]}"
+        held = json.loads(s.files.read(name))
+        held["keys"][1]["created_at"] += 1
+        s.files.delete(name)
+        s.files.create(name, json.dumps(held).encode())
+    with Store(spark, root, config, now=lambda: clock[0]) as s:
+        assert s.keys.skipped == [held["keys"][1]["id"]] and len(s.keys.keys) == 1
+        with pytest.raises(E.InvalidDataKeyID):
+            s.get(b"b")
+        assert s.keys.latest(clock[0]) > held["keys"][1]["id"]
