@@ -553,3 +553,35 @@ def test_a_bad_entry_of_the_keyring_is_left_out(spark, tmp_path):
         with pytest.raises(E.InvalidDataKeyID):
             s.get(b"b")
         assert s.keys.latest(clock[0]) > held["keys"][1]["id"]
+
+
+def test_no_update_is_lost_between_threads(spark, tmp_path):
+    with Store(spark, f"file://{tmp_path}/s", Config(file_retention=0), now=lambda: 1000) as s:
+        done, failed = [], []
+
+        def count(n):
+            try:
+                while n:
+                    t = s.txn()
+                    try:
+                        t.set(b"n", b"%d" % (int(get(t, b"n") or 0) + 1))
+                        done.append(t.commit())
+                        n -= 1
+                    except E.Conflict:
+                        continue
+                    finally:
+                        t.discard()
+            except Exception as e:
+                failed.append(e)
+
+        threads = [threading.Thread(target=count, args=(2,)) for _ in range(3)]
+        for t in threads:
+            t.start()
+        while any(t.is_alive() for t in threads):
+            s.ingest(spark.createDataFrame([(bytearray(b"other"), bytearray(b"v"))], "user_key binary, value binary"))
+            s.flush()
+            s.compact(force=True)
+        for t in threads:
+            t.join()
+        assert not failed and s.get(b"n").value == b"6" and len(set(done)) == 6
+        assert s.check() == [] and s.get(b"other").value == b"v"
